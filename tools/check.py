@@ -60,7 +60,11 @@ def compare(spark_df, con, sql):
         return f"rows differ: {len(left[1])} vs {len(right[1])}"
     bad = [(a, b) for a, b in zip(left[1], right[1]) if a != b or repr(a) != repr(b)]
     if bad:
-        return f"{len(bad)} of {len(left[1])} rows differ, columns {left[0]}\n   spark {bad[0][0]}\n   sql   {bad[0][1]}"
+        other = set(map(repr, right[1]))
+        mine = set(map(repr, left[1]))
+        only = [r for r in left[1] if repr(r) not in other]
+        theirs = [r for r in right[1] if repr(r) not in mine]
+        return f"{len(only)} of {len(left[1])} rows differ, columns {left[0]}\n   spark {only[:2]}\n   sql   {theirs[:2]}"
     return ("ok" if left[1] else "ok (EMPTY)") + f" {len(left[1])} rows"
 
 
