@@ -66,29 +66,25 @@ def median(df: DataFrame, scope: list[str], value: str, bucket) -> DataFrame:
 
 
 def average_rank(df: DataFrame, scope: list[str], value: str, bucket, name: str) -> DataFrame:
-    """Rank of every distinct value, rows of equal value sharing their mean rank."""
+    """Rank of every distinct value, rows of equal value sharing their mean rank, and its distance from the middle rank."""
+    rank = (F.col("first_rank") + F.col("last_rank")) / 2
     return value_ranks(df, scope, value, bucket).select(
-        *scope, value, ((F.col("first_rank") + F.col("last_rank")) / 2).alias(name)
+        *scope, value, rank.alias(name), (rank - (F.col("scope_rows") + 1) / 2).alias(f"{name}_centred")
     )
 
 
 def spearman(df: DataFrame, left: str, right: str, left_bucket, right_bucket) -> DataFrame:
-    """Rank correlation with shared ranks for ties; 0 when a side is constant."""
-    pairs = df.filter(F.col(left).isNotNull() & F.col(right).isNotNull()).groupBy(left, right).agg(F.count("*").alias("w"))
-    rows = df.filter(F.col(left).isNotNull() & F.col(right).isNotNull())
-    ranked = pairs.join(average_rank(rows, [], left, left_bucket, "rank_l"), left).join(
-        average_rank(rows, [], right, right_bucket, "rank_r"), right
-    )
-    # Weighted sums around the mean rank (n + 1) / 2, the same for both sides.
-    mean = rows.agg(((F.count("*") + 1) / 2).alias("mid"))
-    centred = ranked.join(mean).select(
-        "w", (F.col("rank_l") - F.col("mid")).alias("a"), (F.col("rank_r") - F.col("mid")).alias("b")
-    )
-    total = centred.agg(
-        F.sum(F.col("w") * F.col("a") * F.col("b")).alias("ab"),
-        F.sum(F.col("w") * F.col("a") * F.col("a")).alias("aa"),
-        F.sum(F.col("w") * F.col("b") * F.col("b")).alias("bb"),
+    """Rank correlation with shared ranks for ties; 0 when a side is constant.
+
+    Works on distinct value pairs with weights, so repeated values cost nothing.
+    """
+    rows = df.filter(F.col(left).isNotNull() & F.col(right).isNotNull()).select(left, right)
+    pairs = rows.groupBy(left, right).agg(F.count("*").alias("w"))
+    ranked = pairs.join(average_rank(rows, [], left, left_bucket, "l"), left).join(
+        average_rank(rows, [], right, right_bucket, "r"), right
     )
+    w, a, b = F.col("w"), F.col("l_centred"), F.col("r_centred")
+    total = ranked.agg(F.sum(w * a * b).alias("ab"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb"))
     return total.select(
         F.coalesce(F.try_divide(F.col("ab"), F.sqrt(F.col("aa") * F.col("bb"))), F.lit(0.0)).alias("spearman")
     )
