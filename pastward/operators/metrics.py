@@ -194,3 +194,14 @@ def against_baselines(results: DataFrame, baselines: DataFrame, metrics: tuple =
     """One measured row against a small table of published rows."""
     a = results.select(*[F.col(m).alias(f"_m_{m}") for m in metrics])
     return baselines.join(a).select("baseline", *[(F.col(f"_m_{m}") - F.col(m)).alias(f"{m}_delta") for m in metrics])
+
+
+def family_decision(holdout: str, cv: str, home_r2: str, away_r2: str) -> Column:
+    """Keep or drop a feature family from its metric changes."""
+    h, c = F.col(holdout), F.col(cv)
+    return (
+        F.when((F.col(home_r2) < -0.05) | (F.col(away_r2) < -0.05), "goal_r2_worse")
+        .when((h >= 0.01) & (c < -0.03), "cv_dropped")
+        .when(F.greatest(h, c) < 0.01, "no_improvement")
+        .otherwise("keep")
+    )

@@ -534,20 +534,19 @@ def largest_log_losses(tables):
     ))
 
 
-from pastward.plans.standings import _GAPPED, _GAPPED_CTES, STARTS_SQL  # noqa: E402
+from pastward.plans.standings import DIVISION_ROWS, STARTS_SQL  # noqa: E402
 
 
 @query("K38", f"""
-WITH {_GAPPED_CTES}{STARTS_SQL.replace('FROM matches ', 'FROM matches_g ').replace('FROM team_rows ', 'FROM rows_g ')}, {_SCORED},
+WITH {DIVISION_ROWS}{STARTS_SQL.replace('FROM matches ', 'FROM division ').replace('FROM team_rows ', 'FROM rows_g ')}, {_SCORED},
 q AS (SELECT s.*, EXISTS (SELECT 1 FROM starts t WHERE t.initialization = 'promoted_or_returning' AND t.league = s.league AND t.season = s.season
- AND t.team IN (s.home_team, s.away_team)) AS flag FROM s WHERE {_GAPPED})
+ AND t.team IN (s.home_team, s.away_team)) AS flag FROM s WHERE s.match_id IN (SELECT match_id FROM division))
 SELECT l.segment, count(q.match_id) AS count, round(avg(CAST(argmax_correct AS INT)), 6) AS accuracy, round(avg(row_log_loss), 6) AS log_loss,
  round(avg(row_brier), 6) AS brier_score, round(avg(CAST(actual = 'D' AS INT)), 6) AS draw_rate
 FROM (VALUES ('with newcomer', true), ('without newcomer', false)) l(segment, f) LEFT JOIN q ON q.flag = l.f GROUP BY l.segment""")
 def newcomer_segment(tables):
-    matches = tables.matches.filter(_GAPPED)
-    new = season_starts(matches, "league", "season", "event_time").filter(F.col("initialization") == "promoted_or_returning")
-    rows = scored(tables).filter(_GAPPED)
+    new = season_starts(tables.division, "league", "season", "event_time").filter(F.col("initialization") == "promoted_or_returning")
+    rows = scored(tables).join(tables.division.select("match_id"), "match_id", "left_semi")
     for side in ("home", "away"):
         flags = new.select("league", "season", F.col("team").alias(f"{side}_team"), F.lit(True).alias(f"_{side}_new"))
         rows = rows.join(flags, ["league", "season", f"{side}_team"], "left")

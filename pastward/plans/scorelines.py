@@ -103,10 +103,10 @@ def scoreline_predictions(tables):
 
 @query("H6", f"""
 WITH {OUTCOMES} SELECT fold, match_id, CAST(row_number() OVER (PARTITION BY fold, match_id ORDER BY round(p, 9) DESC, home_score * 7 + away_score DESC) AS INT) AS place,
- home_score, away_score, round(p, 6) AS p FROM best""")
+ home_score, away_score, round(p, 9) AS p FROM best""")
 def top_scorelines(tables):
     rows = predictions(tables).select("fold", "match_id", F.posexplode("top_scorelines").alias("at", "s"))
-    return rounded(rows.select("fold", "match_id", (F.col("at") + 1).alias("place"), "s.*"))
+    return rows.select("fold", "match_id", (F.col("at") + 1).alias("place"), "s.*")
 
 
 @query("H8", f"""

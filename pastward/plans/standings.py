@@ -106,21 +106,12 @@ def season_initialization(tables):
     return ratings.season_starts(tables.matches, "league", "season", "event_time")
 
 
-# A gap in the seasons of some teams, so that returning teams occur.
-_GAPPED = "NOT ((home_team + season) % 7 = 0 OR (away_team + season) % 7 = 0)"
-
-
-def gapped(tables):
-    return tables.matches.filter(_GAPPED)
-
-
 @query("G3 G5", f"""
-WITH matches_g AS (SELECT * FROM matches WHERE {_GAPPED}),
-rows_g AS (SELECT * FROM team_rows WHERE match_id IN (SELECT match_id FROM matches_g)),
-{STARTS_SQL.replace('FROM matches ', 'FROM matches_g ').replace('team_rows', 'rows_g')}
+WITH rows_g AS (SELECT * FROM team_rows WHERE match_id IN (SELECT match_id FROM division)),
+{STARTS_SQL.replace('FROM matches ', 'FROM division ').replace('team_rows', 'rows_g')}
 SELECT league, season, initialization, count(*) AS teams FROM starts GROUP BY league, season, initialization""")
 def initialization_counts(tables):
-    starts = ratings.season_starts(gapped(tables), "league", "season", "event_time")
+    starts = ratings.season_starts(tables.division, "league", "season", "event_time")
     return starts.groupBy("league", "season", "initialization").agg(F.count("*").alias("teams"))
 
 
@@ -165,9 +156,7 @@ SELECT match_id, league, season, match_date, event_time, home_team, away_team, h
  actual_home_score, 1 - actual_home_score AS actual_away_score, home_initialization, away_initialization,
  round(hb_delta, 4) + 0.0 AS home_elo_delta, round(ab_delta, 4) + 0.0 AS away_elo_delta,
  round(home_elo_after, 4) AS home_elo_after, round(away_elo_after, 4) AS away_elo_after FROM elo_full"""
-_GAPPED_CTES = f"""matches_g AS (SELECT * FROM matches WHERE {_GAPPED}),
-rows_g AS (SELECT * FROM team_rows WHERE match_id IN (SELECT match_id FROM matches_g)),
-"""
+DIVISION_ROWS = "rows_g AS (SELECT * FROM team_rows WHERE match_id IN (SELECT match_id FROM division)),\n"
 
 
 @query("G1 G2", elo_cte() + _ELO_SELECT)
@@ -175,9 +164,9 @@ def elo_ratings(tables):
     return rounded(ratings.elo(tables.matches), 4)
 
 
-@query("G2 G3", elo_cte("matches_g", "rows_g", _GAPPED_CTES) + _ELO_SELECT)
+@query("G2 G3", elo_cte("division", "rows_g", DIVISION_ROWS) + _ELO_SELECT)
 def elo_ratings_with_returning_teams(tables):
-    return rounded(ratings.elo(gapped(tables)), 4)
+    return rounded(ratings.elo(tables.division), 4)
 
 
 CURRENT_CTE = """,
@@ -215,13 +204,11 @@ def elo_season_summary(tables):
     return rounded(out, 4)
 
 
-# Upcoming fixtures: the last match date of each league stands for the schedule, and two
-# teams are left out of the history so that newcomers occur.
-_STATE_CTE = _STATE_SQL.replace("FROM team_rows)", "FROM rows_h)").strip().removeprefix("WITH ")
+# Upcoming fixtures: the matches on the last date of each league stand for the schedule.
+_STATE_CTE = _STATE_SQL.strip().removeprefix("WITH ")
 
 
 def _names(side):
-    other = "away" if side == "home" else "home"
     cols = [
         "overall_matches_last5", "overall_matches_last10", "points_overall_last5", "points_overall_last10",
         "goal_diff_overall_last5", "xg_overall_last5", "xga_overall_last5",
@@ -230,23 +217,16 @@ def _names(side):
     venue = [f"{side}_{side}_matches_last5"] + [
         f"{side}_{c}_{side}_last5" for c in ("goals_scored", "goals_conceded", "clean_sheet_rate", "xg", "xga")
     ]
-    del other
     return named + [(c, c) for c in venue]
 
 
-_HISTORY_ONLY = "league <> 0 OR (home_team NOT IN (3, 4) AND away_team NOT IN (3, 4))"
-_ELO_H = elo_cte("matches_h", "rows_h", f"""matches_h AS (SELECT * FROM matches WHERE {_HISTORY_ONLY}),
-rows_h AS (SELECT * FROM team_rows WHERE match_id IN (SELECT match_id FROM matches_h)),
-""")
-
-
 def _state_pick(side, alias):
     return ", ".join(
         f"CASE WHEN {alias}.team IS NULL THEN 0 ELSE {alias}.{c} END AS {n}" for c, n in _names(side)
     )
 
 
-@query("F14 D12", _ELO_H + CURRENT_CTE + f""",
+@query("F14 D12", elo_cte() + CURRENT_CTE + f""",
 st AS (WITH {_STATE_CTE}),
 fixtures AS (SELECT m.match_id AS fixture_id, m.league, m.match_date, m.home_team, m.away_team FROM matches m
  JOIN (SELECT league, max(match_date) AS d FROM matches GROUP BY league) l ON l.league = m.league AND l.d = m.match_date),
@@ -262,14 +242,12 @@ SELECT * REPLACE (round(home_elo_before, 4) AS home_elo_before, round(away_elo_b
  round(1 / (1 + pow(10.0, -(home_elo_before - away_elo_before + 50.0) / 400.0)), 4) AS expected_home_score,
  round(1 - 1 / (1 + pow(10.0, -(home_elo_before - away_elo_before + 50.0) / 400.0)), 4) AS expected_away_score FROM f""")
 def upcoming_features(tables):
-    history = tables.matches.filter(_HISTORY_ONLY)
-    rows = tables.team_rows.join(history.select("match_id"), "match_id", "left_semi")
     last = tables.matches.groupBy("league").agg(F.max("match_date").alias("match_date"))
     fixtures = tables.matches.join(last, ["league", "match_date"]).select(
         F.col("match_id").alias("fixture_id"), "league", "match_date", "home_team", "away_team"
     )
-    state = rounded(match_features.latest_team_state(rows, LEAGUE))
-    current = ratings.current_ratings(ratings.elo(history), LEAGUE)
+    state = rounded(match_features.latest_team_state(tables.team_rows, LEAGUE))
+    current = ratings.current_ratings(ratings.elo(tables.matches), LEAGUE)
     out = match_features.upcoming_features(fixtures, state, current, LEAGUE)
     ratings_cols = {c for c in out.columns if "elo" in c or "expected" in c}
     return out.select(*[F.round(c, 4).alias(c) if c in ratings_cols else F.col(c) for c in out.columns])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pastward.functions.scalars import event_time, outcome
@@ -122,6 +122,60 @@ class Tables:
         )
 
 
+    @functools.cached_property
+    def history(self) -> DataFrame:
+        """Event rows of named players, with gaps and drifting spellings."""
+        key, cust = F.col("o_orderkey"), F.col("c_custkey")
+        source = cust.cast("string")
+        return (
+            self.read("orders")
+            .join(self.read("customer"), F.col("o_custkey") == cust)
+            .select(
+                key.alias("row_id"),
+                F.year("o_orderdate").cast("string").alias("season"),
+                F.month("o_orderdate").alias("gameweek"),
+                F.when(key % 97 == 0, F.lit(None)).when(key % 89 == 0, F.lit(" ")).otherwise(source).alias("player_source_id"),
+                F.when(key % 5 == 0, F.concat(F.upper("c_name"), F.lit(" 7"))).when(key % 31 == 0, F.lit("Jos\u00e9 \u00d1u\u00f1ez")).otherwise(F.col("c_name")).alias("player_name"),
+                F.when(key % 41 == 0, F.lit(None)).when(key % 43 == 0, F.lit("  ")).otherwise(F.col("c_mktsegment")).alias("team_name"),
+                F.when(key % 37 == 0, F.lit(None)).otherwise(F.substring("o_orderpriority", 1, 1)).alias("position"),
+                F.when(key % 11 != 0, (key % 400).cast("int")).alias("fixture_id"),
+                F.when(key % 13 != 0, (key % 91).cast("int")).alias("minutes"),
+                F.when(key % 1999 != 0, (key % 17).cast("int") - 2).alias("total_points"),
+                F.when(key % 3 != 0, (F.floor("o_totalprice").cast("bigint") % 100).cast("double") / 100).alias("expected_goals"),
+                (F.floor("o_totalprice").cast("bigint") % 60).cast("int").alias("value"),
+                F.concat(F.lit("f"), F.month("o_orderdate").cast("string")).alias("source_file"),
+            )
+        )
+
+    @functools.cached_property
+    def master(self) -> DataFrame:
+        """One row per player and season; one season has none, players in debt are missing."""
+        cust = F.col("c_custkey")
+        years = F.explode(F.sequence(F.lit(1992), F.lit(2001))).alias("year")
+        return (
+            self.read("customer").filter(F.col("c_acctbal") >= 0).select(cust, "c_name", years)
+            .filter(F.col("year") != 1995)
+            .select(
+                F.col("year").cast("string").alias("season"),
+                cust.cast("string").alias("element_id"),
+                (cust - (cust % 25 == 0).cast("int")).alias("code"),
+                F.when(cust % 6 == 0, F.concat(F.lit("X "), F.col("c_name"))).otherwise(F.col("c_name")).alias("name_raw"),
+                (cust % 5 + 1).cast("string").alias("position_raw"),
+            )
+        )
+
+    @functools.cached_property
+    def division(self) -> DataFrame:
+        """Matches of a division from which the three teams with the fewest goals drop out for a season."""
+        goals = self.team_rows.groupBy("league", "season", "team").agg(F.sum("goals_for").alias("goals"))
+        worst = Window.partitionBy("league", "season").orderBy("goals", "team")
+        out = goals.withColumn("r", F.row_number().over(worst)).filter("r <= 3").select("league", (F.col("season") + 1).alias("season"), "team")
+        matches = self.matches
+        for side in ("home_team", "away_team"):
+            matches = matches.join(out.withColumnRenamed("team", side), ["league", "season", side], "left_anti")
+        return matches
+
+
 # The same views for the SQL engine that checks the results.
 SQL = {
     "matches": """
@@ -170,6 +224,28 @@ FROM lineitem GROUP BY l_suppkey, l_linenumber""",
 SELECT o_orderkey AS snapshot_id, CAST(year(o_orderdate) AS INT) AS run_id, o_custkey AS player_id,
  o_orderstatus AS status, o_totalprice AS now_cost, CAST(o_orderdate AS DATE) AS snapshot_date
 FROM orders""",
+    "history": """
+SELECT o_orderkey AS row_id, CAST(year(o_orderdate) AS VARCHAR) AS season, CAST(month(o_orderdate) AS INT) AS gameweek,
+ CASE WHEN o_orderkey % 97 = 0 THEN NULL WHEN o_orderkey % 89 = 0 THEN ' ' ELSE CAST(c_custkey AS VARCHAR) END AS player_source_id,
+ CASE WHEN o_orderkey % 5 = 0 THEN upper(c_name) || ' 7' WHEN o_orderkey % 31 = 0 THEN 'Jos\u00e9 \u00d1u\u00f1ez' ELSE c_name END AS player_name,
+ CASE WHEN o_orderkey % 41 = 0 THEN NULL WHEN o_orderkey % 43 = 0 THEN '  ' ELSE c_mktsegment END AS team_name,
+ CASE WHEN o_orderkey % 37 = 0 THEN NULL ELSE substr(o_orderpriority, 1, 1) END AS position,
+ CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderkey % 400 AS INT) END AS fixture_id,
+ CASE WHEN o_orderkey % 13 <> 0 THEN CAST(o_orderkey % 91 AS INT) END AS minutes,
+ CASE WHEN o_orderkey % 1999 <> 0 THEN CAST(o_orderkey % 17 AS INT) - 2 END AS total_points,
+ CASE WHEN o_orderkey % 3 <> 0 THEN CAST(CAST(floor(o_totalprice) AS BIGINT) % 100 AS DOUBLE) / 100 END AS expected_goals,
+ CAST(CAST(floor(o_totalprice) AS BIGINT) % 60 AS INT) AS value, 'f' || CAST(month(o_orderdate) AS VARCHAR) AS source_file
+FROM orders JOIN customer ON o_custkey = c_custkey""",
+    "master": """
+SELECT CAST(y AS VARCHAR) AS season, CAST(c_custkey AS VARCHAR) AS element_id, c_custkey - CAST(c_custkey % 25 = 0 AS INT) AS code,
+ CASE WHEN c_custkey % 6 = 0 THEN 'X ' || c_name ELSE c_name END AS name_raw, CAST(c_custkey % 5 + 1 AS VARCHAR) AS position_raw
+FROM customer, range(1992, 2002) r(y) WHERE c_acctbal >= 0 AND y <> 1995""",
+    "relegated": """
+SELECT league, season + 1 AS season, team FROM (SELECT league, season, team, row_number() OVER (PARTITION BY league, season
+ ORDER BY sum(goals_for), team) AS r FROM team_rows GROUP BY league, season, team) WHERE r <= 3""",
+    "division": """
+SELECT * FROM matches m WHERE NOT EXISTS (SELECT 1 FROM relegated x WHERE x.league = m.league AND x.season = m.season
+ AND x.team IN (m.home_team, m.away_team))""",
     # Strictly earlier rows of the same team, numbered from the latest back.
     "team_past": """
 SELECT a.match_id, a.league, a.team, a.venue, p.venue AS past_venue, p.goals_for, p.goals_against, p.xg_for,
