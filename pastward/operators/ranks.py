@@ -38,6 +38,13 @@ def positions(df: DataFrame, scope: list[str], bucket: str, order: list[str]) ->
     return joined.withColumn("position", F.col("_before") + F.row_number().over(inside) - 1).drop("_before")
 
 
+def running_totals(df: DataFrame, scope: list[str], bucket: str, order: list[str], value, name: str) -> DataFrame:
+    """Adds the running total up to and including each row, and ``<name>_before``: the total of earlier buckets."""
+    offsets = _offsets(df, scope, bucket, value).select(*scope, bucket, F.col("_before").alias(f"{name}_before"))
+    inside = Window.partitionBy(*scope, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return _null_safe(df, offsets, [*scope, bucket]).withColumn(name, F.col(f"{name}_before") + F.sum(value).over(inside))
+
+
 def value_ranks(df: DataFrame, scope: list[str], value: str, bucket) -> DataFrame:
     """Distinct values with their count and the ranks (1-based) of their first and last row.
 

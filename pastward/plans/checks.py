@@ -1,11 +1,11 @@
 """Data quality, audits and identity."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-
+from pastward.functions.scalars import points_for
 from pastward.operators import history, identity, match_features, pairs, quality, ratings, standings
 from pastward.operators.decisions import prediction_rows
+from pastward.operators.ranks import positions, running_totals
 from pastward.operators.reshape import struct_rows
 from pastward.plans.common import LEAGUE, SEASON, rounded
 from pastward.plans.history import BASE_SQL, H2H_SQL
@@ -124,9 +124,6 @@ def training_readiness(tables):
 @query("L7", "SELECT * FROM (VALUES ('only_left', CAST(0 AS BIGINT)), ('only_right', 0), ('differs_points5', 0), ('differs_n5', 0)) v(comparison, rows)")
 def form_recomputed(tables):
     """Strict last-5 points once from carried histories, once from running totals at row positions."""
-    from pastward.functions.scalars import points_for
-    from pastward.operators.ranks import positions
-
     rows = tables.team_rows.withColumn("points", points_for("goals_for", "goals_against"))
     team = ["league", "team"]
     first = history.prior_strict(rows, team, "event_time", ["match_id"], ["points"], 5).select(
@@ -134,8 +131,8 @@ def form_recomputed(tables):
     )
     placed = positions(rows.select(*team, "event_time", "match_id", "points"), team, "event_time", ["match_id"])
     per_time = placed.groupBy(*team, "event_time").agg(F.min("position").alias("start"))
-    running = Window.partitionBy(*team).orderBy("event_time", "match_id")
-    totals = placed.select(*team, (F.col("position") + 1).alias("upto"), F.sum("points").over(running).alias("total"))
+    totals = running_totals(placed, team, "event_time", ["match_id"], F.col("points"), "total")
+    totals = totals.select(*team, (F.col("position") + 1).alias("upto"), "total")
     bounds = per_time.withColumn("low", F.greatest(F.col("start") - 5, F.lit(0)))
     high = totals.withColumnsRenamed({"upto": "start", "total": "high_total"})
     low = totals.withColumnsRenamed({"upto": "low", "total": "low_total"})
@@ -150,15 +147,13 @@ def form_recomputed(tables):
 
 @query("L7", "SELECT * FROM (VALUES ('only_left', CAST(0 AS BIGINT)), ('only_right', 0), ('differs_points_before', 0), ('differs_games_played_before', 0)) v(comparison, rows)")
 def standings_recomputed(tables):
-    """Points before a match once from the tables by date, once from a range frame over match rows."""
-    from pastward.functions.scalars import points_for
-
+    """Points before a match once from the tables by date, once from running totals of the match rows."""
     first = standings.standings_before(tables.team_rows, SEASON).select("match_id", "team", "points_before", "games_played_before")
-    day = F.datediff("match_date", F.to_date(F.lit("1970-01-01")))
-    before = Window.partitionBy(*SEASON, "team").orderBy("_day").rangeBetween(Window.unboundedPreceding, -1)
-    second = tables.team_rows.withColumn("_day", day).select(
-        "match_id", "team", F.coalesce(F.sum(points_for("goals_for", "goals_against")).over(before), F.lit(0)).alias("points_before"),
-        F.count("*").over(before).alias("games_played_before"),
+    rows = tables.team_rows.withColumn("points", points_for("goals_for", "goals_against"))
+    second = running_totals(rows, [*SEASON, "team"], "match_date", ["match_id"], F.col("points"), "points")
+    games = running_totals(rows, [*SEASON, "team"], "match_date", ["match_id"], F.lit(1), "games")
+    second = second.select("match_id", "team", "points_before").join(
+        games.select("match_id", "team", F.col("games_before").alias("games_played_before")), ["match_id", "team"]
     )
     return quality.difference(first, second, ["match_id", "team"], ["points_before", "games_played_before"])
 

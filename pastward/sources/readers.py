@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pastward.functions.scalars import is_present
+
 
 def filter_by(df: DataFrame, **conditions) -> DataFrame:
     """Keep rows that meet all conditions that are given; None means no condition.
@@ -28,3 +30,8 @@ def filter_by(df: DataFrame, **conditions) -> DataFrame:
 
     parts = [condition(k, v) for k, v in conditions.items() if v is not None]
     return df.filter(reduce(lambda a, b: a & b, parts)) if parts else df
+
+
+def completed_only(df: DataFrame, required: list[str]) -> DataFrame:
+    """Rows whose required fields are all known and not blank."""
+    return df.filter(reduce(lambda a, b: a & b, [is_present(c) for c in required]))
