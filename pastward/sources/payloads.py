@@ -77,7 +77,11 @@ _PLAYER = {
 
 def _event(events: Column) -> Column:
     """Next, else current, else previous, else first event."""
-    flagged = [F.filter(events, lambda e, f=f: F.coalesce(e[f], F.lit(False))) for f in ("is_next", "is_current", "is_previous")]
+
+    def flagged_with(flag: str) -> Column:
+        return F.filter(events, lambda e: F.coalesce(e[flag], F.lit(False)))
+
+    flagged = [flagged_with(f) for f in ("is_next", "is_current", "is_previous")]
     return F.coalesce(*[F.get(x, F.lit(0)) for x in flagged], F.get(events, F.lit(0)))
 
 
