@@ -18,12 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _last(array: Column, n: int) -> Column:
-    return F.slice(array, F.greatest(F.size(array) - (n - 1), F.lit(1)), F.lit(n))
-
-
 def tails(df: DataFrame, keys: list[str], order: list[str], cols: list[str], n: int, name: str = "tail") -> DataFrame:
-    """Per key the last n rows as an array of structs, oldest first.
+    """Per key the last n rows as an array of structs, newest first.
 
     The rank filter is applied before the shuffle too (window group limit), so at
     most n rows per key and task move.
@@ -34,41 +30,42 @@ def tails(df: DataFrame, keys: list[str], order: list[str], cols: list[str], n:
         .withColumn("_rank", F.row_number().over(latest))
         .filter(F.col("_rank") <= n)
         .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct(*dict.fromkeys([*order, *cols])))).alias(name))
+        .agg(F.sort_array(F.collect_list(F.struct(*dict.fromkeys([*order, *cols]))), asc=False).alias(name))
     )
 
 
 def carried(df: DataFrame, entity: list[str], block: str, order: list[str], cols: list[str], n: int) -> DataFrame:
-    """Per (entity, block) the last n rows of all earlier blocks, as ``history``.
+    """Per (entity, block) the last n rows of all earlier blocks, newest first, as ``history``.
 
     Every block in the table holds at least one row, so the n blocks before are enough.
     """
-    before = Window.partitionBy(*entity).orderBy(block).rowsBetween(-n, -1)
+    earlier = Window.partitionBy(*entity).orderBy(F.col(block).desc()).rowsBetween(1, n)
     return tails(df, [*entity, block], order, cols, n).select(
-        *entity, block, _last(F.flatten(F.collect_list("tail").over(before)), n).alias("history")
+        *entity, block, F.slice(F.flatten(F.collect_list("tail").over(earlier)), 1, n).alias("history")
     )
 
 
 def prior_strict(
     df: DataFrame, entity: list[str], time: str, tiebreak: list[str], cols: list[str], n: int
 ) -> DataFrame:
-    """One row per (entity, time) with ``history``: the last n strictly earlier rows."""
+    """One row per (entity, time) with ``history``: the last n strictly earlier rows, newest first."""
     return carried(df, entity, time, tiebreak, cols, n)
 
 
 def history_count(n: int, history: str = "history") -> Column:
-    return F.size(_last(F.col(history), n))
+    return F.least(F.size(history), F.lit(n))
 
 
-def history_mean(value, n: int, history: str = "history", min_rows: int | None = None) -> Column:
-    """Mean over the last n rows of a history; NULL when there is no value.
+def history_mean(value: str, n: int, history: str = "history", min_rows: int | None = None) -> Column:
+    """Mean of a field over the last n rows of a history; NULL when there is no value.
 
-    ``value`` is a field name or a function of the row. With ``min_rows`` the mean is
-    NULL as well when fewer rows exist.
+    With ``min_rows`` the mean is NULL as well when fewer rows exist. The sum is written out
+    over the n places, which compiles, where array functions with lambdas would be interpreted.
     """
-    pick = (lambda row: row[value]) if isinstance(value, str) else value
-    values = F.filter(F.transform(_last(F.col(history), n), lambda r: pick(r).cast("double")), lambda x: x.isNotNull())
-    mean = F.try_divide(F.aggregate(values, F.lit(0.0), lambda total, x: total + x), F.size(values))
+    places = [f"CAST(get({history}.{value}, {i}) AS DOUBLE)" for i in range(n)]
+    total = " + ".join(f"coalesce({p}, 0D)" for p in places)
+    known = " + ".join(f"CAST({p} IS NOT NULL AS INT)" for p in places)
+    mean = F.expr(f"try_divide({total}, {known})")
     return mean if min_rows is None else F.when(history_count(n, history) >= min_rows, mean)
 
 
@@ -82,7 +79,7 @@ def with_carry_rows(df: DataFrame, entity: list[str], block: str, order: list[st
     copies = carried(df, entity, block, order, cols, n).select(
         *entity, block, F.posexplode("history").alias("_at", "row")
     )
-    copies = copies.select(*entity, block, "row.*", (F.col("_at") - n).alias(lead))
+    copies = copies.select(*entity, block, "row.*", (-F.col("_at") - 1).alias(lead))
     return df.withColumn(lead, F.lit(0)).unionByName(copies)
 
 

@@ -108,11 +108,18 @@ def name_key(col: str) -> Column:
 def overlaps(df: DataFrame, entity: list[str], start: str, end: str) -> DataFrame:
     """Intervals that begin before or when an earlier one of the entity ends; an open end never ends.
 
-    Also marks intervals that end before they start.
+    Also marks intervals that end before they start. The latest end so far is taken over the years
+    of an entity first and inside a year second, so no window holds a whole entity.
     """
     open_end = F.coalesce(F.col(end), F.to_date(F.lit("9999-12-31")))
-    earlier = Window.partitionBy(*entity).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("previous_end", F.max(open_end).over(earlier)).withColumns({
+    rows = df.withColumns({"_open_end": open_end, "_year": F.year(start)})
+    years = Window.partitionBy(*entity).orderBy("_year").rowsBetween(Window.unboundedPreceding, -1)
+    per_year = rows.groupBy(*entity, "_year").agg(F.max("_open_end").alias("_end")).select(
+        *entity, "_year", F.max("_end").over(years).alias("_years_end")
+    )
+    inside = Window.partitionBy(*entity, "_year").orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
+    joined = rows.join(per_year, [*entity, "_year"], "left")
+    return joined.withColumn("previous_end", F.greatest(F.max("_open_end").over(inside), "_years_end")).withColumns({
         "overlaps": F.coalesce(F.col(start) <= F.col("previous_end"), F.lit(False)),
         "invalid_range": F.coalesce(F.col(start) > F.col(end), F.lit(False)),
-    })
+    }).drop("_open_end", "_year", "_years_end")

@@ -8,19 +8,16 @@ from pyspark.sql import functions as F
 from pastward.functions.scalars import outcome, points_for
 from pastward.operators.history import history_count, history_mean, latest_n, prior_strict
 
-_COLS = ["goals_for", "goals_against", "xg_for", "xg_against"]
+_OVERALL = ["points", "goal_diff", "xg_for", "xg_against"]
+_VENUE = ["goals_for", "goals_against", "clean_sheet", "xg_for", "xg_against"]
 
 
-def _points(row):
-    return points_for(row["goals_for"], row["goals_against"])
-
-
-def _goal_diff(row):
-    return row["goals_for"] - row["goals_against"]
-
-
-def _clean_sheet(row):
-    return (row["goals_against"] == 0).cast("int")
+def _with_values(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({
+        "points": points_for("goals_for", "goals_against"),
+        "goal_diff": F.col("goals_for") - F.col("goals_against"),
+        "clean_sheet": (F.col("goals_against") == 0).cast("int"),
+    })
 
 
 def overall_features() -> dict:
@@ -28,9 +25,9 @@ def overall_features() -> dict:
     return {
         "overall_matches_last5": history_count(5),
         "overall_matches_last10": history_count(10),
-        "points_overall_last5": history_mean(_points, 5),
-        "points_overall_last10": history_mean(_points, 10),
-        "goal_diff_overall_last5": history_mean(_goal_diff, 5),
+        "points_overall_last5": history_mean("points", 5),
+        "points_overall_last10": history_mean("points", 10),
+        "goal_diff_overall_last5": history_mean("goal_diff", 5),
         "xg_overall_last5": history_mean("xg_for", 5),
         "xga_overall_last5": history_mean("xg_against", 5),
     }
@@ -42,7 +39,7 @@ def venue_features(side: str) -> dict:
         f"{side}_matches_last5": history_count(5),
         f"goals_scored_{side}_last5": history_mean("goals_for", 5),
         f"goals_conceded_{side}_last5": history_mean("goals_against", 5),
-        f"clean_sheet_rate_{side}_last5": history_mean(_clean_sheet, 5),
+        f"clean_sheet_rate_{side}_last5": history_mean("clean_sheet", 5),
         f"xg_{side}_last5": history_mean("xg_for", 5),
         f"xga_{side}_last5": history_mean("xg_against", 5),
     }
@@ -59,12 +56,13 @@ def base_match_features(matches: DataFrame, rows: DataFrame, league: list[str],
     at scale, and joined to the matches by equality.
     """
     team = [*league, "team"]
-    overall = prior_strict(rows, team, time, ["match_id"], _COLS, 10).select(
+    rows = _with_values(rows)
+    overall = prior_strict(rows, team, time, ["match_id"], _OVERALL, 10).select(
         *team, time, *[v.alias(k) for k, v in overall_features().items()]
     )
 
     def at_venue(venue: str, side: str) -> DataFrame:
-        return prior_strict(rows.filter(F.col("venue") == venue), team, time, ["match_id"], _COLS, 5).select(
+        return prior_strict(rows.filter(F.col("venue") == venue), team, time, ["match_id"], _VENUE, 5).select(
             *team, time, *[v.alias(k) for k, v in venue_features(side).items()]
         )
 
@@ -90,9 +88,10 @@ def base_match_features(matches: DataFrame, rows: DataFrame, league: list[str],
 def latest_team_state(rows: DataFrame, league: list[str], time: str = "event_time") -> DataFrame:
     """Form of every team up to now: last 5 at home, last 5 away, last 5 and 10 overall."""
     team, order = [*league, "team"], [time, "match_id"]
-    state = latest_n(rows, team, order, _COLS, 10).select(*team, *[v.alias(k) for k, v in overall_features().items()])
+    rows = _with_values(rows)
+    state = latest_n(rows, team, order, _OVERALL, 10).select(*team, *[v.alias(k) for k, v in overall_features().items()])
     for venue, side in (("H", "home"), ("A", "away")):
-        part = latest_n(rows.filter(F.col("venue") == venue), team, order, _COLS, 5)
+        part = latest_n(rows.filter(F.col("venue") == venue), team, order, _VENUE, 5)
         part = part.select(*team, *[v.alias(f"{side}_{k}") for k, v in venue_features(side).items()])
         state = state.join(part, team, "left")
     return state.fillna(0, subset=["home_home_matches_last5", "away_away_matches_last5"])
@@ -101,7 +100,7 @@ def latest_team_state(rows: DataFrame, league: list[str], time: str = "event_tim
 def mature_style_features(matches: DataFrame, rows: DataFrame, league: list[str], time: str = "event_time") -> DataFrame:
     """Attack and defence means that exist only with a full window behind them."""
     team = [*league, "team"]
-    per_time = prior_strict(rows, team, time, ["match_id"], _COLS, 10)
+    per_time = prior_strict(rows, team, time, ["match_id"], ["xg_for", "xg_against"], 10)
     parts = {
         f"{part}_last{n}": history_mean(col, n, min_rows=n)
         for n in (5, 10)

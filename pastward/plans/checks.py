@@ -14,6 +14,7 @@ from pastward.plans.players import _period_features
 from pastward.plans.registry import query
 from pastward.plans.relational import coverage_by_season
 from pastward.plans.standings import TABLE_SQL, _PRESSURE_CTE, elo_cte
+from pastward.sources.tables import materialize
 
 # ---- integrity -----------------------------------------------------------------------
 
@@ -409,7 +410,8 @@ def identity_join(tables):
 
 
 def _map(tables):
-    joined = identity.identity_join(identity.history_summary(tables.history), tables.master)
+    # One row per player and season from here on, used by several aggregates.
+    joined = materialize(identity.identity_join(identity.history_summary(tables.history), tables.master))
     return identity.identity_map(identity.conflict_flags(joined))
 
 

@@ -127,3 +127,21 @@ def test_team_rows_swap_sides(spark):
     data = season_rows(4, seasons=1)[:1]
     got = collected(sides(spark, data), "venue", "team", "goals_for")
     assert got == sorted([("H", data[0][5], data[0][7]), ("A", data[0][6], data[0][8])], key=repr)
+
+
+def test_overlapping_tenures(spark):
+    rng = random.Random(7)
+    data = []
+    for i in range(80):
+        start = dt.date(2015, 1, 1) + dt.timedelta(days=rng.randint(0, 3000))
+        end = None if rng.random() < 0.1 else start + dt.timedelta(days=rng.randint(-5, 60))
+        data.append((i, rng.choice("xxy"), start, end))
+    data = list({(r[1], r[2]): r for r in data}.values())  # one start per day, so the order is total
+    df = spark.createDataFrame(data, "i int, e string, s date, t date")
+    from pastward.operators.joins import overlaps
+
+    expected = []
+    for i, e, s, t in data:
+        ends = [r[3] or dt.date(9999, 12, 31) for r in data if r[1] == e and r[2] < s]
+        expected.append((i, bool(ends) and s <= max(ends), t is not None and s > t))
+    assert collected(overlaps(df, ["e"], "s", "t"), "i", "overlaps", "invalid_range") == sorted(expected, key=repr)
