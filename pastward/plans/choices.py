@@ -7,6 +7,7 @@ from pastward.operators import joins, selection, upsert
 from pastward.operators.decisions import argmax_label
 from pastward.operators.history import latest_by
 from pastward.operators.models import feature_row
+from pastward.operators.ranking import top_k
 from pastward.plans.common import rounded
 from pastward.plans.registry import query
 from pastward.sources.readers import completed_only
@@ -26,10 +27,19 @@ _SQUAD = "CAST(player_id // 15 AS BIGINT)"
 _QUOTA = " AND ".join(f"position_{p} = {n}" for p, n in selection.QUOTAS.items())
 
 
+# The eleven best of a squad start.
+_STARTERS = f"""SELECT * FROM (SELECT *, {_SQUAD} AS squad FROM candidates)
+ QUALIFY row_number() OVER (PARTITION BY squad ORDER BY expected_points DESC, player_id) <= 11"""
+
+
 def squads(tables):
     return tables.candidates.withColumn("squad", F.floor(F.col("player_id") / 15))
 
 
+def starters(tables):
+    return top_k(squads(tables), ["squad"], [F.col("expected_points").desc(), F.col("player_id")], 11)
+
+
 @query("I4", f"""
 WITH s AS (SELECT *, {_SQUAD} AS squad FROM candidates), t AS (SELECT squad, team_id, count(*) AS n FROM s GROUP BY squad, team_id),
 q AS (SELECT s.squad, count(*) AS players, {', '.join(f'count(*) FILTER (position = {p}) AS position_{p}' for p in selection.QUOTAS)},
@@ -43,19 +53,19 @@ _FORM = " AND ".join(f"position_{p} BETWEEN {a} AND {b}" for p, (a, b) in select
 
 
 @query("I5", f"""
-WITH s AS (SELECT *, {_SQUAD} AS squad, player_id % 15 AS place FROM candidates),
-q AS (SELECT squad, count(*) AS starters, {', '.join(f'count(*) FILTER (position = {p}) AS position_{p}' for p in selection.FORMATION)} FROM s WHERE place < 11 GROUP BY squad)
+WITH s AS ({_STARTERS}),
+q AS (SELECT squad, count(*) AS starters, {', '.join(f'count(*) FILTER (position = {p}) AS position_{p}' for p in selection.FORMATION)} FROM s GROUP BY squad)
 SELECT *, starters = 11 AND {_FORM} AS valid FROM q""")
 def starting_eleven_check(tables):
-    return selection.formation_check(squads(tables).filter(F.col("player_id") % 15 < 11), "squad")
+    return selection.formation_check(starters(tables), "squad")
 
 
 @query("I6 C20", f"""
-WITH s AS (SELECT player_id, {_SQUAD} AS squad, round(expected_points + 0.4 * (now_cost % 9), 6) AS captain_score FROM candidates WHERE player_id % 15 < 11)
+WITH s AS (SELECT player_id, squad, round(expected_points + 0.4 * (now_cost % 9), 6) AS captain_score FROM ({_STARTERS}))
 SELECT squad, player_id, captain_score, CASE row_number() OVER w WHEN 1 THEN 'captain' ELSE 'vice_captain' END AS role FROM s
 WINDOW w AS (PARTITION BY squad ORDER BY captain_score DESC, player_id) QUALIFY row_number() OVER w <= 2""")
 def captains(tables):
-    rows = squads(tables).filter(F.col("player_id") % 15 < 11).withColumn("form", F.col("now_cost") % 9)
+    rows = starters(tables).withColumn("form", F.col("now_cost") % 9)
     rows = rows.withColumn("captain_score", F.round(selection.captain_score("expected_points", "form"), 6))
     return selection.captains(rows, "squad", "captain_score", "player_id")
 

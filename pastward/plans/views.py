@@ -16,6 +16,8 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        # Event times are dates at midnight or noon UTC, whatever the machine's zone is.
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder.rstrip('/')}/{name}.parquet")
