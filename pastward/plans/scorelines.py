@@ -105,7 +105,9 @@ def scoreline_predictions(tables):
 WITH {OUTCOMES} SELECT fold, match_id, CAST(row_number() OVER (PARTITION BY fold, match_id ORDER BY round(p, 9) DESC, home_score * 7 + away_score DESC) AS INT) AS place,
  home_score, away_score, round(p, 9) AS p FROM best""")
 def top_scorelines(tables):
-    rows = predictions(tables).select("fold", "match_id", F.posexplode("top_scorelines").alias("at", "s"))
+    # Written once: exploding a computed array would compute it again for the filter on its size.
+    best = materialize(predictions(tables).select("fold", "match_id", "top_scorelines"))
+    rows = best.select("fold", "match_id", F.posexplode("top_scorelines").alias("at", "s"))
     return rows.select("fold", "match_id", (F.col("at") + 1).alias("place"), "s.*")
 
 
