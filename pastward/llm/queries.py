@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pastward.llm import token_files
+from pastward.llm import line_dedup, quality_rules, token_files, toxicity
 from pastward.llm.shared import Scratch, table
 from pastward.llm.token_ids import vocabulary_path
 
@@ -25,3 +26,31 @@ def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = Scratch(spark, "op5").path("ids")
     token_files.write_token_files(table(spark, folder, "documents"), path, vocabulary_path())
     return token_files.read_digests(spark, path)
+
+
+@_query
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of all documents that repeat an earlier line within one edit, and a digest of what is left."""
+    rows = line_dedup.without_repeated_lines(table(spark, folder, "documents"))
+    return rows.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("kept_md5"))
+
+
+SQL["op6_line_dedup"] = line_dedup.SQL
+
+
+@_query
+def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Measures of every document, the base rules and the verdict of the cascade."""
+    rows = quality_rules.judged(table(spark, folder, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+SQL["op8_quality_rules"] = quality_rules.SQL
+
+
+@_query
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels of the rows that aren't held out."""
+    docs = table(spark, folder, "documents")
+    rows = toxicity.scored(docs.select("doc_id", "text"), toxicity.fit(docs, table(spark, folder, "labels")))
+    return rows.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))

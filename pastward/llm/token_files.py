@@ -44,7 +44,9 @@ def train_dictionary(docs: DataFrame, vocabulary: str, width: int, id_col: str =
     """The dictionary, trained on the driver on the sample named above; empty without any text."""
     import zstandard
 
-    sample = docs.filter(F.length(text_col).between(1, SAMPLE_CHARS)).orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE)
+    short = docs.filter(F.length(text_col).between(1, SAMPLE_CHARS))
+    ids = short.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE)
+    sample = short.join(F.broadcast(ids), id_col).orderBy(F.xxhash64(id_col), id_col, text_col).limit(SAMPLE)
     arrays = [_narrow(encoder(vocabulary).packed(row[0]), width) for row in sample.select(text_col).collect()]
     arrays = [a for a in arrays if a]
     try:
