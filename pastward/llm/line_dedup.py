@@ -18,13 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pastward.llm.shared import SPACES, Scratch
+from pastward.llm.shared import SPACES, Scratch, bit_filter
 
 MIN_CHARS = 20
 #: A part holds about so many code points at most; two parts at least.
 PART_CHARS = 256
-#: Bits of the filter of line hashes: a table of at most ``FILTER_BITS / 64`` rows, whatever the input.
-FILTER_BITS = 1 << 20
 _PLACE = "struct<doc_id:bigint,line_no:int,row_hash:bigint>"
 
 
@@ -85,22 +83,13 @@ def _line_rows(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> D
     return rows.select("*", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
 
 
-def _in_filter(hashes: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows whose ``a`` may be among ``hashes``: a bit filter of fixed size, for a cheaper join after it."""
-    word, own = F.expr(f"CAST(pmod(a, {FILTER_BITS}) DIV 64 AS INT)"), F.expr("shiftleft(1L, CAST(pmod(a, 64) AS INT))")
-    words = hashes.select(word.alias("_word"), own.alias("_bits"))
-    words = words.groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
-    tested = rows.withColumn("_word", word).join(F.broadcast(words), "_word")
-    return tested.filter(F.col("_bits").bitwiseAND(own) != 0).drop("_word", "_bits")
-
-
 def _earliest_near(docs: DataFrame, lines: DataFrame, scratch: Scratch, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """(a, b, near): the place of the earliest other line within the bound, for lines that have one before them."""
     frames = lines.select("a", "b", "first", F.explode("frames").alias("f")).select("a", "b", "first", "f.*")
     shared = frames.groupBy("frame").agg(F.min("a").alias("low"), F.max("a").alias("high")).filter("low <> high").select("frame")
     chosen = frames.join(shared, "frame", "left_semi").groupBy("a", "b").agg(F.min("first").alias("first"), F.collect_set(F.struct("longer", "part", "frame")).alias("frames"))
     chosen = scratch.keep(chosen, "chosen")
-    texts = _in_filter(chosen.select("a"), _line_rows(docs, id_col, text_col, min_chars).select("a", "b", "line"))
+    texts = bit_filter(chosen.select("a"), _line_rows(docs, id_col, text_col, min_chars).select("a", "b", "line"), "a")
     texts = texts.groupBy("a", "b").agg(F.first("line").alias("line"))
     chosen = scratch.keep(chosen.join(texts, ["a", "b"]), "texts")
 

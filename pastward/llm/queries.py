@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pastward.llm import line_dedup, quality_rules, token_files, toxicity
+from pastward.llm import html_text, line_dedup, near_dedup, packing, quality_rules, token_files, toxicity
 from pastward.llm.shared import Scratch, table
 from pastward.llm.token_ids import vocabulary_path
 
@@ -54,3 +54,24 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     rows = toxicity.scored(docs.select("doc_id", "text"), toxicity.fit(docs, table(spark, folder, "labels")))
     return rows.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@_query
+def op3_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose sets of three-word shingles are alike to 85 percent."""
+    return near_dedup.near_duplicates(table(spark, folder, "documents"), words=3, percent=85)
+
+
+SQL["op3_near_dedup"] = near_dedup.SQL
+
+
+@_query
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Sequences of at most 4096 ids from all documents, filled with lexical neighbours."""
+    return packing.packed(table(spark, folder, "documents"), vocabulary_path())
+
+
+@_query
+def op2_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extracted(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")

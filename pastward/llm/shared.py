@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pastward.session import ensure_checkpoint_dir
 
@@ -58,3 +59,19 @@ def out_batch(schema, columns: list[list]):
     import pyarrow as pa
 
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+#: Bits of ``bit_filter``: its table has at most ``FILTER_BITS / 64`` rows, whatever the input.
+FILTER_BITS = 1 << 20
+
+
+def bit_filter(wanted: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+    """Rows whose ``column`` (long) may be among those of ``wanted``, null included; a join has to decide.
+
+    A filter of fixed size that is broadcast, so that a join after it shuffles fewer rows. It never loses a match.
+    """
+    value = f"xxhash64({column})"
+    word, own = F.expr(f"CAST(pmod({value}, {FILTER_BITS}) DIV 64 AS INT)"), F.expr(f"shiftleft(1L, CAST(pmod({value}, 64) AS INT))")
+    words = wanted.select(word.alias("_word"), own.alias("_bits")).groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
+    tested = rows.withColumn("_word", word).join(F.broadcast(words), "_word")
+    return tested.filter(F.col("_bits").bitwiseAND(own) != 0).drop("_word", "_bits")
