@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pastward.llm import html_text, line_dedup, near_dedup, packing, quality_rules, token_files, toxicity
+from pastward.llm import html_text, line_dedup, mixing, near_dedup, packing, quality_rules, token_files, toxicity
 from pastward.llm.shared import Scratch, table
 from pastward.llm.token_ids import vocabulary_path
 
@@ -75,3 +75,10 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op2_html_text(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""
     return html_text.extracted(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@_query
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents in mixed order: each source as often as its tempered weight asks for."""
+    rows = mixing.schedule(table(spark, folder, "documents"))
+    return rows.select("doc_id", "source", "n_tokens", "epoch", "block", "place")
