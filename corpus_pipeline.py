@@ -1,14 +1,71 @@
-"""Cleans, thins out, mixes and packs the documents table: five stages, each one operator of ``pastward.llm``."""
+"""Cleans, thins out, mixes and packs the documents table: five stages, each one operator of ``pastward.llm``.
+
+A stage takes what the one before it kept. All but the last return the columns of ``documents``: toxic documents go; lines that
+repeat an earlier one go, with documents that have no word left; of every group of near duplicates the one with the
+least id stays; sources are repeated up to their weight, none of their documents is lost; the last stage returns the pieces of the packed sequences.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import functions as F
+
+from pastward.llm import line_dedup, mixing, near_dedup, packing, toxicity
+from pastward.llm.shared import SPACES, table
+from pastward.llm.token_ids import vocabulary_path
+from pastward.session import ensure_checkpoint_dir
+
+REPETITIONS = 1.5
+
+
+def without_toxic(spark, docs, sf_dir):
+    """Documents scored below the threshold by a model of their own corpus and its labels."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    rows = toxicity.scored(docs, model, score_col="_toxicity")
+    return rows.filter(F.col("_toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def without_repeated_lines(spark, docs, sf_dir):
+    """Documents without lines seen earlier; those that lose their last word go."""
+    rows = line_dedup.without_repeated_lines(docs)
+    rows = rows.filter((F.col("n_removed") == 0) | (F.translate("text", SPACES, "") != ""))
+    changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return rows.withColumn("n_chars", changed).select(*docs.columns)
+
+
+def without_near_copies(spark, docs, sf_dir):
+    """The document with the least id of each group; documents with a null id stay."""
+    gone = near_dedup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixed_sources(spark, docs, sf_dir):
+    """Every document at least once, those of small sources up to ``REPETITIONS`` times on average."""
+    return mixing.mixed(docs, repetitions=REPETITIONS)
+
+
+def packed_sequences(spark, docs, sf_dir):
+    """The pieces of the packed sequences."""
+    return packing.packed(docs, vocabulary_path())
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("line_dedup", without_repeated_lines),
+    ("near_dedup", without_near_copies),
+    ("mixing", mixed_sources),
+    ("packing", packed_sequences),
+]
+#: The toxicity model has no SQL form, so the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """Apply the stages to ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """Apply the stages to ``documents``, each written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
