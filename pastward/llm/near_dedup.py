@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pastward.llm.components import components
-from pastward.llm.shared import SPACES, Scratch, bit_filter, out_batch, rows_of
+from pastward.llm.shared import Scratch, bit_filter, out_batch, rows_of
+from pastward.llm.words import hasher
 
 TREES, DEPTH, LEAST = 20, 8, 4
 REGION = 64
@@ -37,45 +38,19 @@ class Shingler:
     def __init__(self, words: int):
         import numpy as np
 
-        self.np, self.words = np, words
-        draw = np.random.Generator(np.random.PCG64(20240229))
-        self.of_byte = draw.integers(1, 1 << 63, 256, dtype=np.uint64)
-        self.space = np.zeros(256, bool)
-        self.space[list(SPACES.encode())] = True
-        self.base = np.uint64(0x9E3779B97F4A7C15)
-        self.inverse = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-        self._grow(1 << 14)
+        self.np, self.words, self.hashes = np, words, hasher()
+        draw = np.random.Generator(np.random.PCG64(20240301))
         self.multiply = draw.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.add = draw.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
 
-    def _grow(self, size: int) -> None:
-        np = self.np
-        with np.errstate(over="ignore"):
-            self.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, self.base)]))
-            self.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, self.inverse)]))
-
-    def _mixed(self, x):
-        np = self.np
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
     def __call__(self, text: str | None):
-        np = self.np
-        data = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)
-        gap = self.space[data]
-        edges = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8)))
-        starts, ends = edges[::2], edges[1::2]
-        if not len(starts):
-            return np.zeros(0, np.uint64)
-        if len(data) >= len(self.up):
-            self._grow(2 * len(data))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(self.of_byte[data] * self.up[:len(data)])])
-        hashed = self._mixed((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+        np, hashed = self.np, self.hashes(text)
+        if not len(hashed):
+            return hashed
         size = min(self.words, len(hashed))
-        joined = np.zeros(len(hashed) - size + 1, np.uint64) + np.uint64(size)
+        joined = np.full(len(hashed) - size + 1, np.uint64(size))
         for k in range(size):
-            joined = self._mixed(joined * self.base + hashed[k:len(hashed) - size + 1 + k])
+            joined = self.hashes.mixed(joined * self.hashes.base + hashed[k:len(hashed) - size + 1 + k])
         return np.unique(joined)
 
     def signature(self, shingles) -> bytes:
@@ -85,7 +60,7 @@ class Shingler:
         for at in range(0, len(shingles), 1024):
             part = shingles[None, at:at + 1024] * self.multiply[:, None] + self.add[:, None]
             low = np.minimum(low, part.min(1))
-        return self._mixed(low).astype(np.uint16).astype(">u2").tobytes()
+        return self.hashes.mixed(low).astype(np.uint16).astype(">u2").tobytes()
 
 
 _shinglers: dict[int, Shingler] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pastward.llm import html_text, line_dedup, mixing, near_dedup, packing, quality_rules, token_files, toxicity
+from pastward.llm import html_text, lexical_search, line_dedup, mixing, near_dedup, packing, quality_rules, token_files, toxicity
 from pastward.llm.shared import Scratch, table
 from pastward.llm.token_ids import vocabulary_path
 
@@ -82,3 +82,14 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Documents in mixed order: each source as often as its tempered weight asks for."""
     rows = mixing.schedule(table(spark, folder, "documents"))
     return rows.select("doc_id", "source", "n_tokens", "epoch", "block", "place")
+
+
+@_query
+def op1_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents for each document whose id is divisible by 100, over all documents."""
+    docs, scratch = table(spark, folder, "documents"), Scratch(spark, "search")
+    queries = docs.filter(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return lexical_search.search(lexical_search.index(docs, scratch), queries, scratch)
+
+
+SQL["op1_lexical_search"] = lexical_search.SQL
