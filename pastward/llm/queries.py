@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pastward.llm import html_text, lexical_search, line_dedup, mixing, near_dedup, packing, quality_rules, token_files, toxicity
+from pastward.llm import html_text, lexical_search, line_dedup, mixing, near_dedup, packing, quality_rules, repeats, token_files, toxicity
 from pastward.llm.shared import Scratch, table
 from pastward.llm.token_ids import vocabulary_path
 
@@ -93,3 +93,9 @@ def op1_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL["op1_lexical_search"] = lexical_search.SQL
+
+
+@_query
+def op9_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the bytes of 200-byte strings that start elsewhere, too."""
+    return repeats.repeated_bytes(table(spark, folder, "documents"))
