@@ -196,10 +196,10 @@ def refine(blocks, symbols):
     """Number of the block of each suffix after one more symbol: blocks stay in order and split by symbol."""
     import numpy as np
 
-    keys = blocks * 257 + symbols
+    keys = blocks.astype(np.int64) * 257 + symbols
     order = np.argsort(keys, kind="stable")
     ordered = keys[order]
-    out = np.empty(len(keys), np.int64)
+    out = np.empty(len(keys), np.int32)
     out[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
     return out
 
@@ -209,19 +209,19 @@ def _columns(sides: list[bytes], depth: int):
     import numpy as np
 
     sizes = np.array([len(s) for s in sides])
-    table = np.frombuffer(b"".join(s.ljust(depth, b"\0") for s in sides), np.uint8).reshape(len(sides), depth).astype(np.int64)
+    table = np.frombuffer(b"".join(s.ljust(depth, b"\0") for s in sides), np.uint8).reshape(len(sides), depth).astype(np.int16)
     table[np.arange(depth)[None, :] >= sizes[:, None]] = 256
     return table.T, sizes
 
 
 def merged(cores, left: list[bytes], right: list[bytes], window: int):
-    """For each number of bytes to the left, (which suffixes have such a string, its block, and whether the block has a second)."""
+    """For each number j of bytes to the left: (j, suffixes with such a string, its block, sizes of blocks, block of the right part of every suffix)."""
     import numpy as np
 
     depth = window - 1
     lefts, left_sizes = _columns(left, depth)
     rights, right_sizes = _columns(right, depth)
-    start = np.cumsum(np.concatenate([[0], cores[1:] != cores[:-1]]))
+    start = np.cumsum(np.concatenate([[0], cores[1:] != cores[:-1]])).astype(np.int32)
     after = [start]
     for k in range(depth):
         after.append(refine(after[-1], rights[k]))
@@ -232,16 +232,18 @@ def merged(cores, left: list[bytes], right: list[bytes], window: int):
         valid = np.flatnonzero((left_sizes >= j) & (right_sizes >= depth - j))
         if not len(valid):
             continue
-        pairs = before[valid] * (int(after[depth - j].max()) + 1) + after[depth - j][valid]
+        pairs = before[valid].astype(np.int64) * (int(after[depth - j].max()) + 1) + after[depth - j][valid]
         _, block, count = np.unique(pairs, return_inverse=True, return_counts=True)
-        yield j, valid, block, count
+        yield j, valid, block, count, after[depth - j]
 
 
 def _resolve(length: int, window: int):
-    """Covered stretches of surroundings sorted by core: (doc_id, text_hash, start, end, code).
+    """Covered stretches of surroundings sorted by core and right part: (doc_id, text_hash, start, end, code).
 
-    ``code`` is null for a stretch that is covered. For a core handled in parts the strings of a part are given
-    with a hash, as many as differ, and ``start`` null where the string only stands for a covered one.
+    ``code`` is null for a stretch that is covered. A core with very many surroundings is handled in parts, which
+    follow one another in the order of the right part. A string can then be in two parts only if the block of its right
+    part has the first or last suffix of a part; such strings are given with a hash, as many as differ, with
+    ``start`` null where the string only stands for a covered one.
     """
 
     def run(batches):
@@ -256,14 +258,15 @@ def _resolve(length: int, window: int):
             low, high = np.full(len(rows), -1), np.full(len(rows), -1)
             spread = []
             is_open = np.array(opens)
-            for j, valid, block, count in merged(np.array(cores), left, right, window):
+            for j, valid, block, count, right_block in merged(np.array(cores), left, right, window):
                 twice = valid[count[block] > 1]
                 low[twice] = np.where(low[twice] < 0, j, low[twice])
                 high[twice] = j
                 if part:
                     _, one = np.unique(block, return_index=True)
-                    for i in valid[one].tolist():
-                        alone = is_open[i] and count[block[np.searchsorted(valid, i)]] == 1
+                    one = one[np.isin(right_block[valid[one]], right_block[[0, -1]])]
+                    for at, i in zip(one.tolist(), valid[one].tolist()):
+                        alone = is_open[i] and count[block[at]] == 1
                         digest = hashlib.blake2b(b"%d/%d/" % (cores[i], j) + left[i][:j] + b"/" + right[i][:depth - j], digest_size=16).digest()
                         spread.append((docs[i], codes[i], places[i] - j if alone else None, places[i] - j + length if alone else None, digest))
             found = np.flatnonzero(is_open & (low >= 0)).tolist()
@@ -328,7 +331,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     once = _squeezed(bit_filter(wanted.select("doc_id"), rows, "doc_id")).dropDuplicates(["doc_id", "text_hash"])
     around = once.join(wanted, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "data", "marks").mapInArrow(
         _surroundings(length, window), "core long, doc_id long, text_hash int, pos int, open boolean, left binary, right binary")
-    found = around.repartition("core").sortWithinPartitions("core").mapInArrow(_resolve(length, window), "doc_id long, text_hash int, start int, end int, code binary")
+    found = around.repartition("core").sortWithinPartitions("core", "right").mapInArrow(_resolve(length, window), "doc_id long, text_hash int, start int, end int, code binary")
     found = scratch.keep(found, "found")
     parts = found.filter("code IS NOT NULL")
     across = parts.filter("start IS NOT NULL").join(parts.groupBy("code").count().filter("count > 1").select("code"), "code", "left_semi")
