@@ -59,14 +59,15 @@ def history_count(n: int, history: str = "history") -> Column:
 def history_mean(value: str, n: int, history: str = "history", min_rows: int | None = None) -> Column:
     """Mean of a field over the last n rows of a history; NULL when there is no value.
 
-    With ``min_rows`` the mean is NULL as well when fewer rows exist. The sum is written out
+    With ``min_rows`` the mean is NULL as well when fewer rows exist; the condition is part of the divisor, because a
+    branch around the sum would keep Spark from sharing its parts. The sum is written out
     over the n places, which compiles, where array functions with lambdas would be interpreted.
     """
     places = [f"CAST(get({history}.{value}, {i}) AS DOUBLE)" for i in range(n)]
     total = " + ".join(f"coalesce({p}, 0D)" for p in places)
     known = " + ".join(f"CAST({p} IS NOT NULL AS INT)" for p in places)
-    mean = F.expr(f"try_divide({total}, {known})")
-    return mean if min_rows is None else F.when(history_count(n, history) >= min_rows, mean)
+    enough = "" if min_rows is None else f" * nullif(CAST(least(size({history}), {n}) >= {min_rows} AS INT), 0)"
+    return F.expr(f"try_divide({total}, nullif({known}, 0){enough})")
 
 
 def with_carry_rows(df: DataFrame, entity: list[str], block: str, order: list[str], n: int, lead: str) -> DataFrame:

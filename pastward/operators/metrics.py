@@ -114,10 +114,11 @@ def health_row(df: DataFrame, actual: str, by: list[str] = ()) -> DataFrame:
 
 
 def regression_scores(df: DataFrame, actual: str, predicted: str, by: list[str] = ()) -> DataFrame:
-    """MAE, RMSE and R2."""
+    """MAE, RMSE and R2; R2 over the rows where both values are known."""
     y, p = F.col(actual).cast("double"), F.col(predicted).cast("double")
     gap = y - p
-    spread = F.sum(y * y) - F.sum(y) * F.sum(y) / F.count(y)
+    both = F.when(gap.isNotNull(), y)
+    spread = F.var_pop(both) * F.count(both)
     return df.groupBy(*by).agg(
         F.count("*").alias("rows"),
         F.avg(F.abs(gap)).alias("mae"),

@@ -1,18 +1,17 @@
 """Splits that respect time.
 
-The list of seasons (or periods) is metadata: it is read once, checked to be short, and
-becomes literals, so that splitting the rows itself needs no join and no shuffle.
+Seasons and periods are ranked as small tables of their own and joined to the rows; nothing is read by the driver,
+and Spark decides how to join. What a split needs (an earlier season, enough periods) is checked while rows are read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pastward.operators.ranks import positions
 
-MAX_SEASONS = 1_000
-MAX_PERIODS = 100_000
+_ROLES = "array<struct<fold:int,role:string>>"
 
 
 def season_table(df: DataFrame, season: str, date: str) -> DataFrame:
@@ -20,59 +19,64 @@ def season_table(df: DataFrame, season: str, date: str) -> DataFrame:
     return df.groupBy(season).agg(F.min(date).alias("first_date"), F.max(date).alias("last_date"), F.count("*").alias("rows"))
 
 
-def ordered_seasons(df: DataFrame, season: str, date: str) -> list:
-    """Seasons by first date; refuses a column that is no season."""
-    rows = season_table(df, season, date).orderBy("first_date", season).limit(MAX_SEASONS + 1).collect()
-    if len(rows) > MAX_SEASONS:
-        raise ValueError(f"{season} has more than {MAX_SEASONS} values")
-    return [row[season] for row in rows]
+def ranked_seasons(df: DataFrame, season: str, date: str) -> DataFrame:
+    """Seasons by first date: (season, season_rank from 1, seasons). One row per season, so one window holds them."""
+    everything = Window.orderBy("first_date", season).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    seasons = season_table(df.filter(F.col(season).isNotNull()), season, date)
+    return seasons.select(
+        season, F.row_number().over(Window.orderBy("first_date", season)).alias("season_rank"), F.count("*").over(everything).cast("int").alias("seasons"))
+
+
+def last_season(df: DataFrame, season: str, date: str) -> DataFrame:
+    """The season that begins last, as a table of one row and column."""
+    return ranked_seasons(df, season, date).filter("season_rank = seasons").select(season)
+
+
+def _checked(rows: DataFrame, condition: Column, message: str) -> DataFrame:
+    return rows.filter(F.assert_true(F.coalesce(condition, F.lit(False)), F.lit(message)).isNull())
 
 
 def development_split(df: DataFrame, season: str, date: str, holdout=None) -> tuple[DataFrame, DataFrame]:
     """Seasons before the holdout, and the holdout (the last season unless given)."""
-    seasons = ordered_seasons(df, season, date)
-    holdout = seasons[-1] if holdout is None else holdout
-    earlier = seasons[: seasons.index(holdout)]
-    if not earlier:
-        raise ValueError("no development season before the holdout")
-    return df.filter(F.col(season).isin(earlier)), df.filter(F.col(season) == holdout)
+    ranks = ranked_seasons(df, season, date)
+    chosen = F.col("season_rank") == F.col("seasons") if holdout is None else F.col(season) == F.lit(holdout)
+    cut = F.max(F.when(chosen, F.col("season_rank"))).over(Window.orderBy(season).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ranks = _checked(ranks.withColumn("_cut", cut), F.col("_cut") > 1, "no development season before the holdout")
+    # One column for the place: an equality with the cut would let the optimizer check the rank in its stead.
+    rows = df.join(ranks.select(season, F.signum(F.col("season_rank") - F.col("_cut")).alias("_place")), season)
+    before, at = rows.filter("_place < 0"), rows.filter("_place = 0")
+    return before.select(*df.columns), at.select(*df.columns)
+
+
+def _between(low: Column, high: Column, shift: int, role: str) -> Column:
+    """(fold, role) for the numbers ``low`` to ``high``; fold is the number less ``shift``."""
+    numbers = F.transform(F.sequence(low, high), lambda k: F.struct((k - shift).cast("int").alias("fold"), F.lit(role).alias("role")))
+    return F.when(low <= high, numbers).otherwise(F.array().cast(_ROLES))
 
 
-def _with_roles(df: DataFrame, season: str, roles: dict) -> DataFrame:
-    """``roles`` maps a season to its (fold, role) pairs; a row appears once per pair."""
-    pairs = F.when(F.lit(False), F.array().cast("array<struct<fold:int,role:string>>"))
-    for value, entries in roles.items():
-        literal = F.array(*[F.struct(F.lit(f).alias("fold"), F.lit(r).alias("role")) for f, r in entries])
-        pairs = pairs.when(F.col(season) == value, literal)
-    return df.select("*", F.explode(pairs).alias("_r")).select("*", "_r.*").drop("_r")
+def _with_roles(df: DataFrame, season: str, ranks: DataFrame, roles: Column, enough: Column) -> DataFrame:
+    """A row per pair of its season; the pairs are built on the table of seasons."""
+    pairs = _checked(ranks, enough, "not enough seasons for one fold").select(season, F.explode(roles).alias("_r")).select(season, "_r.*")
+    return df.join(pairs, season).select(*df.columns, "fold", "role")
 
 
 def walk_forward(df: DataFrame, season: str, date: str, min_train: int = 2, window: int = 1) -> DataFrame:
     """Rows with (fold, role): train on all seasons before the validation window."""
-    seasons = ordered_seasons(df, season, date)
-    roles: dict = {}
-    for fold, start in enumerate(range(min_train, len(seasons) - window + 1), 1):
-        for s in seasons[:start]:
-            roles.setdefault(s, []).append((fold, "train"))
-        for s in seasons[start : start + window]:
-            roles.setdefault(s, []).append((fold, "validation"))
-    if not roles:
-        raise ValueError("not enough seasons for one fold")
-    return _with_roles(df, season, roles)
+    rank, last = F.col("season_rank"), F.col("seasons") - window
+    # A fold is named by the number of its training seasons, less ``min_train`` - 1.
+    train = _between(F.greatest(rank, F.lit(min_train)), last, min_train - 1, "train")
+    validation = _between(F.greatest(rank - window, F.lit(min_train)), F.least(rank - 1, last), min_train - 1, "validation")
+    return _with_roles(df, season, ranked_seasons(df, season, date), F.concat(train, validation), last >= min_train)
 
 
 def fit_calibrate_validate(df: DataFrame, season: str, date: str) -> DataFrame:
     """Rows with (fold, role): fit on the seasons before the calibration season, which precedes validation."""
-    seasons = ordered_seasons(df, season, date)
-    roles: dict = {}
-    for fold, at in enumerate(range(2, len(seasons)), 1):
-        for s in seasons[: at - 1]:
-            roles.setdefault(s, []).append((fold, "fit"))
-        roles.setdefault(seasons[at - 1], []).append((fold, "calibrate"))
-        roles.setdefault(seasons[at], []).append((fold, "validate"))
-    if not roles:
-        raise ValueError("not enough seasons for one fold")
-    return _with_roles(df, season, roles)
+    rank, seasons = F.col("season_rank"), F.col("seasons")
+    # A fold is named by the rank of its validation season, from the third on.
+    fit = _between(F.greatest(rank + 2, F.lit(3)), seasons, 2, "fit")
+    calibrate = _between(F.greatest(rank + 1, F.lit(3)), F.least(rank + 1, seasons), 2, "calibrate")
+    validate = _between(F.greatest(rank, F.lit(3)), rank, 2, "validate")
+    return _with_roles(df, season, ranked_seasons(df, season, date), F.concat(fit, calibrate, validate), seasons >= 3)
 
 
 def fold_windows(folds: DataFrame, date: str, roles: tuple = ("train", "validation")) -> DataFrame:
@@ -92,17 +96,11 @@ def fold_windows(folds: DataFrame, date: str, roles: tuple = ("train", "validati
 
 def period_split(df: DataFrame, period: list[str], fraction: float = 0.8) -> DataFrame:
     """Adds ``part``: complete periods only, the first share of them is train, the rest test."""
-    known = df.select(*period).dropna().distinct().orderBy(*period).limit(MAX_PERIODS + 1).collect()
-    if len(known) > MAX_PERIODS:
-        raise ValueError(f"more than {MAX_PERIODS} periods")
-    at = int(len(known) * fraction)
-    if not 0 < at < len(known):
-        raise ValueError("not enough periods for a split")
-    first_test = F.struct(*[F.lit(v).alias(c) for c, v in zip(period, known[at])])
-    whole: Column = F.lit(True)
-    for c in period:
-        whole = whole & F.col(c).isNotNull()
-    return df.filter(whole).withColumn("part", F.when(F.struct(*period) < first_test, "train").otherwise("test"))
+    everything = Window.orderBy(*period).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    known = df.select(*period).dropna().distinct().select(
+        *period, F.row_number().over(Window.orderBy(*period)).alias("_rank"), F.floor(F.count("*").over(everything) * fraction).alias("_train"))
+    known = _checked(known, F.col("_train") > 0, "not enough periods for a split")
+    return df.join(known, period).select(*df.columns, F.when(F.col("_rank") <= F.col("_train"), "train").otherwise("test").alias("part"))
 
 
 def time_series_folds(df: DataFrame, bucket: str, order: list[str], k: int = 5) -> DataFrame:
@@ -133,7 +131,8 @@ def majority_baseline(train: DataFrame, label: str, labels: tuple) -> DataFrame:
     )
 
 
-def assert_absent(df: DataFrame, column: str, value) -> DataFrame:
-    """Guard: fails while the rows are read if any of them belongs to the holdout."""
-    ok = F.assert_true(F.coalesce(F.col(column) != value, F.lit(True)), F.lit(f"{column}={value} must stay unseen"))
-    return df.filter(ok.isNull())
+def assert_absent(df: DataFrame, column: str, forbidden: DataFrame) -> DataFrame:
+    """Guard: fails while the rows are read if the value of any of them is among ``forbidden`` (one column)."""
+    marked = df.join(forbidden.select(F.col(forbidden.columns[0]).alias(column)).distinct().withColumn("_seen", F.lit(True)), column, "left")
+    message = F.concat(F.lit(f"{column} must stay unseen: "), F.col(column).cast("string"))
+    return marked.filter(F.assert_true(F.col("_seen").isNull(), message).isNull()).select(*df.columns)

@@ -95,9 +95,9 @@ def period_anomalies(tables):
 
 
 _READY = [
-    ("rows_total_points / rows < 0.999", "missing target"), ("rows_minutes / rows < 0.999", "missing minutes"), ("rows < 2000", "low row count"),
-    ("source_files < 10", "low source file coverage"), ("rows_team_name / rows < 0.95", "team_name coverage below 95%"),
-    ("rows_position / rows < 0.95", "position coverage below 95%"),
+    ("rows_total_points / rows < 0.999", "target unknown in some rows"), ("rows_minutes / rows < 0.999", "minutes unknown in some rows"), ("rows < 2000", "fewer than 2000 rows"),
+    ("source_files < 10", "fewer than 10 files"), ("rows_team_name / rows < 0.95", "team known in under 95 percent"),
+    ("rows_position / rows < 0.95", "position known in under 95 percent"),
 ]
 
 

@@ -143,8 +143,7 @@ def fit_calibrate_validate(tables):
 
 @query("K47", f"WITH {_RANKS} SELECT count(*) AS development_rows FROM matches m JOIN r ON r.season = m.season WHERE k < n")
 def holdout_guard(tables):
-    seasons = splits.ordered_seasons(tables.matches, "season", "match_date")
-    guarded = splits.assert_absent(_development(tables), "season", seasons[-1])
+    guarded = splits.assert_absent(_development(tables), "season", splits.last_season(tables.matches, "season", "match_date"))
     return guarded.agg(F.count("*").alias("development_rows"))
 
 

@@ -35,7 +35,7 @@ def average_baselines(tables):
 
 def _reg(p):
     return (f"round(avg(abs(target - {p})), 6) AS mae, round(sqrt(avg(pow(target - {p}, 2))), 6) AS rmse, "
-            f"round(1 - sum(pow(target - {p}, 2)) / nullif(sum(target * target) - sum(target) * sum(target) / count(*), 0), 6) + 0.0 AS r2")
+            f"round(1 - sum(pow(target - {p}, 2)) / nullif(regr_syy(target, {p}), 0), 6) + 0.0 AS r2")
 
 
 @query("K40", BASE_SQL + f" SELECT season, count(*) AS rows, {_reg('last5')} FROM x GROUP BY season")

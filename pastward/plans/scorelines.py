@@ -20,9 +20,9 @@ def folds(tables):
     rows = base.select(
         "match_id", "season", "match_date", "home_team", "away_team", "home_goals", "away_goals", *scorelines.INPUTS
     ).withColumn("gap", F.expr(_GAP))
-    seasons = splits.ordered_seasons(tables.matches, "season", "match_date")
-    marked = splits.walk_forward(tables.matches.filter(F.col("season") != seasons[-1]).select("match_id", "season", "match_date"), "season", "match_date")
-    rows = materialize(rows.join(marked.select("match_id", "fold", "role"), "match_id"))
+    # The base rows are stored once; folds are formed from them by season when they are read.
+    development, _ = splits.development_split(materialize(rows), "season", "match_date")
+    rows = splits.walk_forward(development, "season", "match_date")
     return rows.filter("role = 'train'").drop("role"), rows.filter("role = 'validation'").drop("role")
 
 

@@ -57,7 +57,7 @@ _PRESSURE = {
 }
 _PRESSURE_CTE = TABLE_SQL + f""",
 pr0 AS (SELECT *, {', '.join(f'CAST({e} AS DOUBLE) AS {n}' for n, e in _PRESSURE.items())} FROM tab),
-pr AS (SELECT *, greatest(title_pressure, top4_pressure, top6_pressure, relegation_pressure) AS pressure_index FROM pr0)"""
+pr AS MATERIALIZED (SELECT *, greatest(title_pressure, top4_pressure, top6_pressure, relegation_pressure) AS pressure_index FROM pr0)"""
 
 
 @query("G8", _PRESSURE_CTE + """

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pastward.functions.scalars import blank_to_null, lenient_boolean, lenient_number
 
-MAX_HEADERS = 500
-
 # Accepted source columns per canonical column, first existing one wins.
 TEXT = {
     "player_source_id": ["element", "player_id", "id"],
@@ -28,69 +24,61 @@ INTEGERS = ["minutes", "total_points", "goals_scored", "assists", "clean_sheets"
 NUMBERS = ["influence", "creativity", "threat", "ict_index", "expected_goals", "expected_assists", "selected"]
 
 
-def canonical(name: str) -> str:
-    return re.sub(r"[^0-9a-z]+", "_", name.strip().lower()).strip("_")
+_FIELD = r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'
+
+
+def fields(line: Column) -> Column:
+    """Values of one line of comma-separated text; quotes around a value are taken off."""
+    found = F.regexp_extract_all(line, F.lit(_FIELD), F.lit(1))
+    return F.transform(found, lambda v: F.when(v.startswith('"'), F.regexp_replace(F.substring(v, F.lit(2), F.length(v) - 2), '""', '"')).otherwise(v))
 
 
-def with_canonical_columns(df: DataFrame) -> DataFrame:
-    """Columns under canonical names; a repeated name gets a number."""
-    seen: set[str] = set()
-    names = []
-    for column in df.columns:
-        base = name = canonical(column)
-        number = 2
-        while name in seen:
-            name, number = f"{base}_{number}", number + 1
-        seen.add(name)
-        names.append(name)
-    return df.toDF(*names)
+def canonical_names(header: Column) -> Column:
+    """Column names in lower case, their words (letters and digits) joined by one underscore."""
+    words = F.transform(header, lambda name: F.regexp_extract_all(F.lower(name), F.lit("[a-z0-9]+"), F.lit(0)))
+    return F.transform(words, lambda w: F.array_join(w, "_"))
+
+
+def period_rows(rows: DataFrame, season: Column, period: Column, source_file: Column) -> DataFrame:
+    """One canonical schema from rows (header, values) of any of the known layouts; unreadable values become NULL.
+
+    ``header`` holds canonical names. A name that a header repeats means its first column.
+    """
 
+    def value(name: str) -> Column:
+        return F.get("values", (F.array_position("header", F.lit(name)) - 1).cast("int"))
 
-def normalize_period_rows(df: DataFrame, season: Column, period: Column, source_file: Column) -> DataFrame:
-    """One canonical schema from a file with any of the known layouts; unreadable values become NULL."""
-    df = df.withColumns({"_season": season, "_period": period, "_file": source_file})
-    rows = with_canonical_columns(df.select(*[c for c in df.columns if c not in ("_season", "_period", "_file")], F.col("_season").alias("src_season"),
-                                            F.col("_period").alias("src_period"), F.col("_file").alias("src_file")))
+    def has(name: str) -> Column:
+        return F.array_contains("header", name)
 
     def pick(candidates: list[str]) -> Column:
-        return next((F.col(c) for c in candidates if c in rows.columns), F.lit(None).cast("string"))
+        return F.coalesce(*[F.when(has(c), F.struct(value(c).alias("v"))) for c in candidates])["v"]
 
     text = {name: blank_to_null(pick(candidates)) for name, candidates in TEXT.items()}
-    if not {"player_name", "name"} & set(rows.columns) and {"first_name", "second_name"} <= set(rows.columns):
-        full = F.concat(F.coalesce("first_name", F.lit("")), F.lit(" "), F.coalesce("second_name", F.lit("")))
-        text["player_name"] = blank_to_null(full)
-    columns = {"season": F.col("src_season"), "gameweek": F.col("src_period").cast("int")} | text
-    columns |= {name: pick(c).cast("string").try_cast("timestamp") for name, c in TIMES.items()}
+    full = blank_to_null(F.concat(F.coalesce(value("first_name"), F.lit("")), F.lit(" "), F.coalesce(value("second_name"), F.lit(""))))
+    two_part = ~has("player_name") & ~has("name") & has("first_name") & has("second_name")
+    text["player_name"] = F.when(two_part, full).otherwise(text["player_name"])
+    columns = {"season": season, "gameweek": period.cast("int")} | text
+    columns |= {name: pick(c).try_cast("timestamp") for name, c in TIMES.items()}
     columns |= {name: lenient_boolean(pick(c)) for name, c in BOOLEANS.items()}
     columns |= {name: lenient_number(pick([name]), "int") for name in INTEGERS}
     columns |= {name: lenient_number(pick([name])) for name in NUMBERS}
-    return rows.select(*[v.alias(k) for k, v in columns.items()], F.col("src_file").alias("source_file"))
+    return rows.select(*[v.alias(k) for k, v in columns.items()], source_file.alias("source_file"))
 
 
 def read_period_files(spark: SparkSession, root: str) -> DataFrame:
     """All files <season>/…/gw<period>.csv below a folder, as canonical rows.
 
-    Files are grouped by their header line, so that every layout is read with its own columns;
-    season and period come from the path. Only header lines and paths reach the driver.
+    Every file is read once, whole: one season and period is a few hundred lines. Each line is taken apart by its own
+    file's header, so any number of layouts is one plan and nothing reaches the driver. A path without a season
+    fails while it is read.
     """
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "[gG][wW]*.csv")
-    lines = reader.text(root).select("value", "_metadata.file_path", "_metadata.file_block_start")
-    # A file's first block is read by one task in order, so the first line of the block is the header.
-    headers = lines.filter("file_block_start = 0").groupBy("file_path").agg(F.first("value").alias("header"))
-    layouts = headers.groupBy("header").agg(F.array_sort(F.collect_list("file_path")).alias("paths")).orderBy("header").limit(MAX_HEADERS + 1).collect()
-    if len(layouts) > MAX_HEADERS:
-        raise ValueError(f"more than {MAX_HEADERS} different headers")
-    out = None
-    path = F.col("_metadata.file_path")
-    for layout in layouts:
-        part = spark.read.option("header", True).csv(list(layout["paths"]))
-        rows = normalize_period_rows(
-            part.select(*[F.col(f"`{c}`") for c in part.columns], path.alias("__path")).withColumnRenamed("__path", "src_path"),
-            F.regexp_extract("src_path", r"/(\d{4}-\d{2})/", 1),
-            F.regexp_extract("src_path", r"(?i)/gw(\d+)\.csv$", 1),
-            F.regexp_extract("src_path", r"(\d{4}-\d{2}/.*)$", 1),
-        )
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        raise ValueError(f"no period files below {root}")
-    return out
+    files = reader.text(root, wholetext=True).select(F.split("value", "\r?\n").alias("lines"), F.col("_metadata.file_path").alias("path"))
+    files = files.filter(F.assert_true(F.col("path").rlike(r"/\d{4}-\d{2}/"), F.concat(F.lit("no season in the path "), F.col("path"))).isNull())
+    first = F.regexp_replace(F.get("lines", F.lit(0)), "^\ufeff", "")
+    body = F.filter(F.slice("lines", F.lit(2), F.size("lines")), lambda line: F.trim(line) != "")
+    lines = files.select("path", canonical_names(fields(first)).alias("header"), F.explode(body).alias("line"))
+    rows = lines.select("path", "header", fields(F.col("line")).alias("values"))
+    return period_rows(
+        rows, F.regexp_extract("path", r"/(\d{4}-\d{2})/", 1), F.regexp_extract("path", r"(?i)/gw(\d+)\.csv$", 1), F.regexp_extract("path", r"(\d{4}-\d{2}/.*)$", 1))

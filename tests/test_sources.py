@@ -63,6 +63,15 @@ def test_period_files_with_drifting_columns(spark, tmp_path):
     ], key=repr)
 
 
+def test_period_file_quotes_repeated_names_and_missing_season(spark, tmp_path):
+    write(tmp_path / "data/2019-20/gw3.csv", '"Name",element,team,Team,minutes\r\n"Doe, ""Jo""",7,"A,B",C,\r\n')
+    got = collected(period_files.read_period_files(spark, str(tmp_path / "data")), "season", "gameweek", "player_name", "team_name", "minutes")
+    assert got == [("2019-20", 3, 'Doe, "Jo"', "A,B", None)]
+    write(tmp_path / "other/gw1.csv", "name,element\nJo,7\n")
+    with pytest.raises(Exception, match="no season"):
+        period_files.read_period_files(spark, str(tmp_path / "other")).collect()
+
+
 def test_match_json(rows):
     matches = [
         {"id": "1", "isResult": True, "datetime": "2023-08-11 19:00:00", "h": {"title": "A", "xG": "1.5"}, "a": {"title": "B", "xg": 0.5}, "goals": {"h": "2", "a": "0"}},

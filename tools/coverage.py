@@ -14,7 +14,7 @@ from pastward.plans.registry import all_queries  # noqa: E402
 # Items checked by unit tests on files and rows the tests write themselves.
 UNIT = {
     "A2": "`sources/results.py` read_results_csv", "A3": "`sources/results.py` parse_results", "A4": "`sources/period_files.py` read_period_files",
-    "A5": "`sources/period_files.py` normalize_period_rows", "A6": "`sources/payloads.py` parse_match_json", "A7": "`sources/payloads.py` parse_team_history",
+    "A5": "`sources/period_files.py` period_rows", "A6": "`sources/payloads.py` parse_match_json", "A7": "`sources/payloads.py` parse_team_history",
     "A8": "`sources/payloads.py` parse_player_snapshot", "A9": "`sources/payloads.py` parse_fixture_snapshot", "A10": "`sources/payloads.py` parse_live_period",
     "A11": "`sources/payloads.py` parse_player_history", "A12": "`sources/payloads.py` clean_players", "A13": "`functions/scalars.py` to_naive_utc",
     "A14": "`sources/results.py` read_tenures", "B1": "`sources/sinks.py` overwrite", "B2": "`sources/sinks.py` replace_slice, replace_slices",
