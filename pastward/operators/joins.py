@@ -5,39 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pastward.functions.scalars import normalize_name, text_key
+from pastward.functions.scalars import text_key
 
 
-def unique_keys(df: DataFrame, keys: list[str]) -> None:
-    """Raise when a key occurs more than once."""
-    twice = df.groupBy(*keys).count().filter("count > 1").limit(5).collect()
-    if twice:
-        raise ValueError(f"keys {keys} are not unique, e.g. {[r.asDict() for r in twice]}")
+def _counted(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The rows and how many of them share their key. The window is dealt by the key, as the join after it is."""
+    return df.withColumn(name, F.count("*").over(Window.partitionBy(*keys)))
+
+
+def _guard(rows: DataFrame, keys: list[str], condition: Column, message: str) -> DataFrame:
+    """Fails while rows are read that break the condition."""
+    key = F.concat_ws(", ", *[F.concat(F.lit(f"{k}="), F.coalesce(F.col(k).cast("string"), F.lit("null"))) for k in keys])
+    return rows.filter(F.assert_true(F.coalesce(condition, F.lit(False)), F.concat(F.lit(f"{message}: "), key)).isNull())
 
 
 def many_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join that refuses a right side with repeated keys."""
-    unique_keys(right, keys)
-    return left.join(right, keys, "left")
+    """Left join that refuses a right side with repeated keys that the left side uses."""
+    joined = left.join(_counted(right, keys, "_r"), keys, "left")
+    return _guard(joined, keys, F.coalesce(F.col("_r"), F.lit(1)) == 1, "keys of the right side are not unique").drop("_r")
 
 
 def one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join that refuses repeated or unmatched keys on either side."""
-    unique_keys(left, keys)
-    unique_keys(right, keys)
-    for a, b, name in ((left, right, "left"), (right, left, "right")):
-        if not a.select(*keys).join(b.select(*keys), keys, "left_anti").isEmpty():
-            raise ValueError(f"{name} side has keys without a match")
-    return left.join(right, keys)
+    """Join that refuses repeated or unmatched keys on either side."""
+    joined = _counted(left, keys, "_l").join(_counted(right, keys, "_r"), keys, "full")
+    found = _guard(joined, keys, F.col("_l").isNotNull() & F.col("_r").isNotNull(), "keys without a match")
+    return _guard(found, keys, (F.col("_l") == 1) & (F.col("_r") == 1), "keys are not unique").drop("_l", "_r")
 
 
-def guarded_inner(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join that must keep the number of rows of the left side."""
-    joined = left.join(right, keys)
-    before, after = left.count(), joined.count()
-    if before != after:
-        raise ValueError(f"join on {keys} changed the row count from {before} to {after}")
-    return joined
+def guarded_inner(left: DataFrame, right: DataFrame, keys: list[str], complete: bool = True) -> DataFrame:
+    """Inner join that refuses repeated keys on either side and, if ``complete``, rows of the left side without a match."""
+    joined = _counted(left, keys, "_l").join(_counted(right, keys, "_r"), keys, "left" if complete else "inner")
+    if complete:
+        joined = _guard(joined, keys, F.col("_r").isNotNull(), "keys without a match")
+    return _guard(joined, keys, (F.col("_l") == 1) & (F.col("_r") == 1), "keys are not unique").drop("_l", "_r")
 
 
 def unmatched(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -46,17 +46,25 @@ def unmatched(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def two_stage(
-    left: DataFrame, right: DataFrame, row_id: str, first: str, natural: list[str], order: list[str], cols: list[str]
+    left: DataFrame, right: DataFrame, row_id: str, first: str, natural: list[str], order: list[str], cols: list[str], strict: bool = False
 ) -> DataFrame:
-    """Match by id; rows left over are matched by their natural key, first row of a repeated key.
+    """Match by id; rows left over are matched by their natural key. Every left row is matched once at most.
 
-    Both lookups are left joins and the id match wins, so the left side is read once.
+    A repeated id or key of the right side means its first row in ``order``; with ``strict`` a repeated one that is
+    used fails while rows are read. Both lookups are left joins and the id match wins, so the left side is read once.
     """
-    by_id = right.filter(F.col(first).isNotNull()).select(first, *[F.col(c).alias(f"_i_{c}") for c in cols], F.lit(True).alias("_i"))
-    best = right.groupBy(*natural).agg(F.min_by(F.struct(*cols), F.struct(*order)).alias("_k"))
-    joined = left.join(by_id, first, "left").join(best, natural, "left")
-    picked = {c: F.when(F.col("_i"), F.col(f"_i_{c}")).otherwise(F.col(f"_k.{c}")) for c in cols}
-    method = F.when(F.col("_i"), "id").when(F.col("_k").isNotNull(), "natural_key")
+
+    def first_of(keys: list[str], name: str) -> DataFrame:
+        known = right.filter(" AND ".join(f"{k} IS NOT NULL" for k in keys))
+        return known.groupBy(*keys).agg(F.min_by(F.struct(*cols), F.struct(*order)).alias(name), F.count("*").alias(f"{name}_n"))
+
+    joined = left.join(first_of([first], "_i"), first, "left").join(first_of(natural, "_k"), natural, "left")
+    by_id = F.col("_i_n").isNotNull()
+    if strict:
+        joined = _guard(joined, [first], F.coalesce(F.col("_i_n"), F.lit(1)) == 1, "repeated id")
+        joined = _guard(joined, natural, by_id | (F.coalesce(F.col("_k_n"), F.lit(1)) == 1), "repeated natural key")
+    picked = {c: F.when(by_id, F.col(f"_i.{c}")).otherwise(F.col(f"_k.{c}")) for c in cols}
+    method = F.when(by_id, "id").when(F.col("_k_n").isNotNull(), "natural_key")
     return joined.withColumns(picked | {"matched_by": method}).filter(F.col("matched_by").isNotNull()).select(
         *left.columns, *cols, "matched_by"
     )
@@ -101,10 +109,6 @@ def resolve_entity(df: DataFrame, name: str, known: DataFrame, known_name: str,
     }).drop("_exact", "_alias", "_similar", "_key")
 
 
-def name_key(col: str) -> Column:
-    return normalize_name(col)
-
-
 def overlaps(df: DataFrame, entity: list[str], start: str, end: str) -> DataFrame:
     """Intervals that begin before or when an earlier one of the entity ends; an open end never ends.
 

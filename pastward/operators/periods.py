@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pastward.operators.joins import many_to_one
+
 
 def period_rollup(df: DataFrame, keys: list[str], sums: dict[str, str], means: dict[str, str]) -> DataFrame:
     """Sums and means per period."""
@@ -49,7 +51,7 @@ def player_period_features(
     """Period features joined back to the event rows."""
     shaped = rolling(lagged(rollup, player, period, lags), player, period, features)
     keep = [*player, *period, *lags, *features]
-    return df.join(shaped.select(*keep), [*player, *period], "left")
+    return many_to_one(df, shaped.select(*keep), [*player, *period])
 
 
 def prior_only_features(

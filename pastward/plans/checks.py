@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from pastward.functions.scalars import points_for
-from pastward.operators import history, identity, match_features, pairs, quality, ratings, standings
+from pastward.operators import history, identity, joins, match_features, pairs, quality, ratings, standings
 from pastward.operators.decisions import prediction_rows
 from pastward.operators.ranks import positions, running_totals
 from pastward.operators.reshape import struct_rows
@@ -122,7 +122,30 @@ def training_readiness(tables):
 # ---- independent recomputation -------------------------------------------------------
 
 
-@query("L7", "SELECT * FROM (VALUES ('only_left', CAST(0 AS BIGINT)), ('only_right', 0), ('differs_points5', 0), ('differs_n5', 0)) v(comparison, rows)")
+def _differences(first: str, second: str, keys: str, values: tuple) -> str:
+    """Counts of rows on one side only and of differing values between two CTEs."""
+    same = " AND ".join(f"x.{k} = y.{k}" for k in keys.split(", "))
+    key = keys.split(", ")[0]
+    counts = [("only_left", f"y.{key} IS NULL"), ("only_right", f"x.{key} IS NULL")]
+    counts += [(f"differs_{v}", f"x.{key} IS NOT NULL AND y.{key} IS NOT NULL AND (x.{v} IS NULL) <> (y.{v} IS NULL) OR abs(x.{v} - y.{v}) > 1e-9") for v in values]
+    return " UNION ALL ".join(f"SELECT '{n}' AS comparison, count(*) FILTER ({c}) AS rows FROM {first} x FULL JOIN {second} y ON {same}" for n, c in counts)
+
+
+# Once by a window over the earlier rows, once by a join that ranks them.
+_FORM_TWICE = f"""
+WITH r AS (SELECT league, team, event_time, match_id, CASE WHEN goals_for > goals_against THEN 3 WHEN goals_for = goals_against THEN 1 ELSE 0 END AS points FROM team_rows),
+t AS (SELECT DISTINCT league, team, event_time FROM r),
+j AS (SELECT t.league, t.team, t.event_time, r.points, row_number() OVER (PARTITION BY t.league, t.team, t.event_time ORDER BY r.event_time DESC, r.match_id DESC) AS k
+ FROM t JOIN r ON r.league = t.league AND r.team = t.team AND r.event_time < t.event_time),
+first AS (SELECT t.league, t.team, t.event_time, count(points) AS n5, avg(points) AS points5 FROM t LEFT JOIN j ON j.league = t.league AND j.team = t.team AND j.event_time = t.event_time AND k <= 5
+ GROUP BY t.league, t.team, t.event_time),
+w AS (SELECT league, team, event_time, count(*) OVER h AS n5, avg(points) OVER h AS points5, row_number() OVER (PARTITION BY league, team, event_time ORDER BY match_id) AS k FROM r
+ WINDOW h AS (PARTITION BY league, team ORDER BY event_time, match_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
+second AS (SELECT league, team, event_time, n5, points5 FROM w WHERE k = 1)
+{_differences('first', 'second', 'league, team, event_time', ('points5', 'n5'))}"""
+
+
+@query("L7", _FORM_TWICE)
 def form_recomputed(tables):
     """Strict last-5 points once from carried histories, once from running totals at row positions."""
     rows = tables.team_rows.withColumn("points", points_for("goals_for", "goals_against"))
@@ -146,7 +169,11 @@ def form_recomputed(tables):
     return quality.difference(first, second, [*team, "event_time"], ["points5", "n5"], tolerance=1e-9)
 
 
-@query("L7", "SELECT * FROM (VALUES ('only_left', CAST(0 AS BIGINT)), ('only_right', 0), ('differs_points_before', 0), ('differs_games_played_before', 0)) v(comparison, rows)")
+@query("L7", TABLE_SQL + f""",
+first AS (SELECT r.match_id, r.team, points_before, games_played_before FROM team_rows r JOIN tab t ON t.league = r.league AND t.season = r.season AND t.match_date = r.match_date AND t.team = r.team),
+second AS (SELECT match_id, team, coalesce(sum(CASE WHEN goals_for > goals_against THEN 3 WHEN goals_for = goals_against THEN 1 ELSE 0 END) OVER w, 0) AS points_before, count(*) OVER w AS games_played_before
+ FROM team_rows WINDOW w AS (PARTITION BY league, season, team ORDER BY match_date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING))
+{_differences('first', 'second', 'match_id, team', ('points_before', 'games_played_before'))}""")
 def standings_recomputed(tables):
     """Points before a match once from the tables by date, once from running totals of the match rows."""
     first = standings.standings_before(tables.team_rows, SEASON).select("match_id", "team", "points_before", "games_played_before")
@@ -280,7 +307,7 @@ def match_features_with_elo(tables):
     elo = rounded(ratings.elo(tables.matches), 4)
     cols = ["home_overall_matches_last5", "away_overall_matches_last5", "home_points_overall_last5", "away_points_overall_last5", "home_xg_overall_last5", "away_xg_overall_last5"]
     added = ["home_elo_before", "away_elo_before", "elo_diff_home_adjusted", "expected_home_score"]
-    out = base.select("match_id", "league", "season", *cols).join(elo.select("match_id", *added), "match_id")
+    out = joins.one_to_one(base.select("match_id", "league", "season", *cols), elo.select("match_id", *added), ["match_id"])
     found = quality.check_features(out, cols + added, ["home_goals", "away_goals", "result"], ["_after", "_delta"])
     if found:
         raise ValueError("; ".join(found))

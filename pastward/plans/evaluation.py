@@ -374,20 +374,26 @@ def draw_rule_gate(tables):
 WITH {_OVERLAY_CTE},
 b AS (SELECT * FROM k WHERE accuracy >= argmax_accuracy - 0.01 QUALIFY row_number() OVER (PARTITION BY season ORDER BY draw_f1 DESC, accuracy DESC, changed_to_draw, draw_threshold DESC) = 1),
 a AS (SELECT season, {_draw('base')[1]} AS r0, {_draw('base')[2]} AS f0 FROM g WHERE draw_threshold = 0.2 GROUP BY season),
-f AS (SELECT b.*, b.draw_f1 - a.f0 AS f1d, b.draw_recall - a.r0 AS rd, b.accuracy - b.argmax_accuracy AS ad FROM b JOIN a USING (season)),
+l0 AS (SELECT season, avg(-ln(greatest({_HIT}, 1e-15))) AS ll, avg({_BRIER}) AS bs FROM n GROUP BY season),
+l1 AS (SELECT n.season, avg(-ln(greatest({_HIT}, 1e-15))) AS ll, avg({_BRIER}) AS bs FROM n JOIN b ON b.season = n.season GROUP BY n.season),
+f AS (SELECT b.*, b.draw_f1 - a.f0 AS f1d, b.draw_recall - a.r0 AS rd, b.accuracy - b.argmax_accuracy AS ad, l1.ll - l0.ll AS lld, l1.bs - l0.bs AS bsd
+ FROM b JOIN a USING (season) JOIN l0 USING (season) JOIN l1 USING (season)),
 o AS (SELECT bool_and(f1d >= 0.03) AS draw_f1_gains_enough, bool_and(rd > 0) AS draw_recall_gains, bool_and(ad >= -0.01) AS accuracy_holds,
- max(draw_threshold) - min(draw_threshold) <= 0.06 AS threshold_stable, true AS probabilities_unchanged, bool_and(changed_to_draw <= 0.15 * rows) AS changes_bounded FROM f)
+ max(draw_threshold) - min(draw_threshold) <= 0.06 AS threshold_stable, bool_and(abs(lld) < 1e-12 AND abs(bsd) < 1e-12) AS probabilities_unchanged, bool_and(changed_to_draw <= 0.15 * rows) AS changes_bounded FROM f)
 SELECT *, draw_f1_gains_enough AND draw_recall_gains AND accuracy_holds AND threshold_stable AND probabilities_unchanged AND changes_bounded AS accepted FROM o""")
 def overlay_acceptance(tables):
     best = decisions.select_overlay_threshold(tables.preds, "actual", ["season"], _THRESHOLDS)
     plain = metrics.evaluate(tables.preds, "actual", ["season"]).select(
-        "season", F.col("draw_recall").alias("r0"), F.col("draw_f1").alias("f0")
+        "season", F.col("draw_recall").alias("r0"), F.col("draw_f1").alias("f0"), F.col("log_loss").alias("l0"), F.col("brier_score").alias("b0")
     )
-    folds = best.join(plain, "season").select(
+    chosen = tables.preds.join(best.select("season", F.col("draw_threshold").alias("_threshold")), "season")
+    chosen = metrics.with_scores(chosen, "actual").withColumn("overlay_prediction", decisions.overlay_label(F.col("_threshold")))
+    overlaid = metrics.evaluate(chosen, "actual", ["season"], "overlay_prediction").select("season", F.col("log_loss").alias("l1"), F.col("brier_score").alias("b1"))
+    folds = best.join(plain, "season").join(overlaid, "season").select(
         "season", "rows", "draw_threshold", "changed_to_draw",
         (F.col("draw_f1") - F.col("f0")).alias("draw_f1_delta"), (F.col("draw_recall") - F.col("r0")).alias("draw_recall_delta"),
         (F.col("accuracy") - F.col("argmax_accuracy")).alias("accuracy_delta"),
-        F.lit(0.0).alias("log_loss_delta"), F.lit(0.0).alias("brier_score_delta"),
+        (F.col("l1") - F.col("l0")).alias("log_loss_delta"), (F.col("b1") - F.col("b0")).alias("brier_score_delta"),
     )
     return metrics.overlay_gates(folds)
 

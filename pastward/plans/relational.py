@@ -28,7 +28,7 @@ _KEY = ["season", "league", "match_date", "home_team", "away_team"]
 WITH feed AS ({_FEED}) SELECT m.match_id, f.feed_id, m.season, m.league, m.match_date, m.home_team, m.away_team, m.home_goals, m.away_goals, f.home_xg, f.away_xg
 FROM matches m JOIN feed f USING (season, league, match_date, home_team, away_team)""")
 def matches_with_feed(tables):
-    return tables.matches.select("match_id", *_KEY, "home_goals", "away_goals").join(feed(tables), _KEY)
+    return joins.guarded_inner(tables.matches.select("match_id", *_KEY, "home_goals", "away_goals"), feed(tables), _KEY, complete=False)
 
 
 @query("D4 D6", f"""
@@ -201,7 +201,7 @@ FROM candidates c LEFT JOIN nation n ON n.n_nationkey = c.team_id""")
 def player_value_features(tables):
     names = tables.read("nation").select(F.col("n_nationkey").alias("team_id"), F.col("n_name").alias("team_name"))
     rows = tables.candidates.withColumn("price", F.col("now_cost") / 10.0).drop("now_cost")
-    return rows.join(names, "team_id", "left").withColumn("points_per_million", ratio("expected_points", "price", 2))
+    return joins.many_to_one(rows, names, ["team_id"]).withColumn("points_per_million", ratio("expected_points", "price", 2))
 
 
 # ---- aggregates ----------------------------------------------------------------------

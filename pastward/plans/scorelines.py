@@ -143,7 +143,12 @@ def draw_probability_diagnostics(tables):
     return rounded(scorelines.draw_diagnostics(materialize(rows), BY))
 
 
-@query("H10", """SELECT * FROM (VALUES ('home_lambda_in_bounds', CAST(0 AS BIGINT)), ('away_lambda_in_bounds', 0), ('grid_sums_to_one', 0), ('outcomes_in_unit_interval', 0),
- ('outcomes_sum_to_one', 0)) v(rule, violations)""")
+@query("H10", f"""
+WITH {OUTCOMES}, cells AS (SELECT fold, match_id, sum(p) AS total FROM grid GROUP BY fold, match_id)
+SELECT 'home_lambda_in_bounds' AS rule, count(*) FILTER (home_lambda < 0.05 OR home_lambda > 5) AS violations FROM lam
+UNION ALL SELECT 'away_lambda_in_bounds', count(*) FILTER (away_lambda < 0.05 OR away_lambda > 5) FROM lam
+UNION ALL SELECT 'grid_sums_to_one', count(*) FILTER (abs(total - 1) > 1e-9) FROM cells
+UNION ALL SELECT 'outcomes_in_unit_interval', count(*) FILTER (least(p_home, p_draw, p_away) < -1e-9 OR greatest(p_home, p_draw, p_away) > 1 + 1e-9) FROM out
+UNION ALL SELECT 'outcomes_sum_to_one', count(*) FILTER (abs(p_home + p_draw + p_away - 1) > 1e-9) FROM out""")
 def scoreline_sanity(tables):
     return rule_violations(predictions(tables), scorelines.sanity_rules())

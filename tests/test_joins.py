@@ -9,18 +9,23 @@ from pastward.operators import joins, quality
 def test_many_to_one_and_one_to_one(rows):
     left, right = rows("k int, a int", (1, 1), (1, 2), (2, 3)), rows("k int, b int", (1, 10), (3, 30))
     assert collected(joins.many_to_one(left, right, ["k"]), "k", "a", "b") == sorted([(1, 1, 10), (1, 2, 10), (2, 3, None)], key=repr)
-    with pytest.raises(ValueError, match="not unique"):
-        joins.many_to_one(right, left, ["k"])
-    with pytest.raises(ValueError, match="without a match"):
-        joins.one_to_one(left.filter("a > 1"), right, ["k"])
+    with pytest.raises(Exception, match="not unique: k=1"):
+        joins.many_to_one(right, left, ["k"]).collect()
+    with pytest.raises(Exception, match="without a match"):
+        joins.one_to_one(left.filter("a > 1"), right, ["k"]).collect()
+    with pytest.raises(Exception, match="not unique"):
+        joins.one_to_one(left.filter("k = 1"), right.filter("k = 1"), ["k"]).collect()
     assert joins.one_to_one(left.filter("a = 1"), right.filter("k = 1"), ["k"]).count() == 1
 
 
 def test_guarded_inner(rows):
     left, right = rows("k int", (1,), (2,)), rows("k int, b int", (1, 10), (2, 20))
     assert joins.guarded_inner(left, right, ["k"]).count() == 2
-    with pytest.raises(ValueError, match="changed the row count"):
-        joins.guarded_inner(left, right.filter("k = 1"), ["k"])
+    with pytest.raises(Exception, match="without a match: k=2"):
+        joins.guarded_inner(left, right.filter("k = 1"), ["k"]).collect()
+    assert joins.guarded_inner(left, right.filter("k = 1"), ["k"], complete=False).count() == 1
+    with pytest.raises(Exception, match="not unique"):  # one lost and one doubled row don't make up for each other
+        joins.guarded_inner(left, rows("k int, b int", (1, 1), (1, 2)), ["k"], complete=False).collect()
 
 
 def test_strict_mapping_fails_on_unknown(rows):
@@ -39,6 +44,11 @@ def test_two_stage_match_prefers_the_id(rows):
     res = rows("id int, k string, r string", (10, "q", "H"), (11, "x", "A"), (12, "x", "D"), (13, "y", "D"))
     got = collected(joins.two_stage(pred, res, "p", "id", ["k"], ["id"], ["r"]), "p", "r", "matched_by")
     assert got == [(1, "H", "id"), (2, "A", "natural_key"), (3, "D", "natural_key")]
+    doubled = res.unionAll(res.filter("id = 10"))
+    assert joins.two_stage(pred, doubled, "p", "id", ["k"], ["id"], ["r"]).count() == 3
+    for strict, error in ((doubled.filter("k <> 'x'"), "repeated id"), (res, "repeated natural key")):
+        with pytest.raises(Exception, match=error):
+            joins.two_stage(pred, strict, "p", "id", ["k"], ["id"], ["r"], strict=True).collect()
 
 
 def test_coverage_and_difference(rows):
