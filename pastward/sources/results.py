@@ -12,6 +12,7 @@ from pastward.sources.readers import completed_only
 # The columns of the file format.
 REQUIRED = ["Date", "HomeTeam", "AwayTeam", "FTHG", "FTAG", "FTR"]
 OPTIONAL = ["Time"]
+COMPLETED = ["FTHG", "FTAG", "FTR"]
 
 
 def day_first_date(text) -> Column:
@@ -26,12 +27,12 @@ def day_first_date(text) -> Column:
 def parse_results(df: DataFrame, season: str, team_names: dict[str, str] | None = None, keep_raw: bool = False) -> DataFrame:
     """Typed rows of completed matches with ``validation_error`` (NULL for a good row).
 
-    A row without all fields is not completed and is left out. With ``team_names`` a
-    name outside the mapping is an error; with ``keep_raw`` the source row stays as JSON.
+    A row without goals or result is not completed and is left out; a completed one without a date or a team is an
+    error. With ``team_names`` a name outside the mapping is an error; with ``keep_raw`` the source row stays as JSON.
     """
     require_columns(df, REQUIRED)
     raw = F.to_json(F.struct(*df.columns))
-    rows = completed_only(df.withColumn("raw_row_json", raw), REQUIRED)
+    rows = completed_only(df.withColumn("raw_row_json", raw), COMPLETED)
     home, away = F.trim("HomeTeam"), F.trim("AwayTeam")
     if team_names is not None:
         lookup = F.create_map(*[F.lit(x) for pair in team_names.items() for x in pair])
@@ -53,7 +54,8 @@ def parse_results(df: DataFrame, season: str, team_names: dict[str, str] | None
     errors = [
         F.when(F.col("match_date").isNull(), "unparseable date"),
         F.when(F.col("home_goals").isNull() | F.col("away_goals").isNull(), "non-numeric goals"),
-        F.when(F.col("home_team").isNull() | F.col("away_team").isNull(), "unknown team name"),
+        F.when(~is_present("HomeTeam") | ~is_present("AwayTeam"), "missing team name"),
+        F.when(is_present("HomeTeam") & F.col("home_team").isNull() | is_present("AwayTeam") & F.col("away_team").isNull(), "unknown team name"),
         F.when(~F.col("source_result").isin("H", "D", "A"), "invalid result"),
         F.when(F.col("source_result").isin("H", "D", "A") & (F.col("source_result") != F.col("result")), "result does not match goals"),
         F.when(is_present(time) & F.col("kickoff_time").isNull(), "unparseable time"),

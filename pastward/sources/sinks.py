@@ -14,15 +14,21 @@ def overwrite(df: DataFrame, path: str, partition_by: list[str] = ()) -> None:
 def replace_slice(df: DataFrame, path: str, part: dict[str, object]) -> None:
     """Replace one slice of a partitioned table, also by nothing.
 
-    The slice's own folder is overwritten, so an empty result clears it; dynamic partition
-    overwrite would leave the old rows. Rows outside the slice are refused.
+    Rows outside the slice are refused. Spark names and overwrites the slice's folder; a slice that becomes empty is
+    deleted, by the name Spark gives it.
     """
     inside = F.lit(True)
     for column, value in part.items():
         inside = inside & F.col(column).eqNullSafe(F.lit(value))
     checked = df.filter(F.assert_true(inside, F.lit(f"row outside the slice {part}")).isNull())
-    folder = "/".join([path.rstrip("/"), *[f"{c}={v}" for c, v in part.items()]])
-    checked.drop(*part).write.mode("overwrite").parquet(folder)
+    if checked.isEmpty():
+        jvm = df.sparkSession.sparkContext._jvm
+        names = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+        folder = "/".join([path.rstrip("/"), *[names.getPartitionPathString(c, None if v is None else str(v)) for c, v in part.items()]])
+        target = jvm.org.apache.hadoop.fs.Path(folder)
+        target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    else:
+        replace_slices(checked, path, list(part))
 
 
 def replace_slices(df: DataFrame, path: str, keys: list[str]) -> None:
@@ -31,14 +37,8 @@ def replace_slices(df: DataFrame, path: str, keys: list[str]) -> None:
 
 
 def append_run(df: DataFrame, path: str, run_id: int, column: str = "run_id") -> None:
-    """Add a snapshot under its run id."""
-    df.withColumn(column, F.lit(run_id)).write.mode("append").partitionBy(column).parquet(path)
-
-
-def latest_run(df: DataFrame, column: str = "run_id") -> DataFrame:
-    """Rows of the newest run of a snapshot table."""
-    newest = df.agg(F.max(column).alias(column))  # one row
-    return df.join(F.broadcast(newest), column, "left_semi")
+    """Add a snapshot under its run id. A run that is repeated takes the place of its first try."""
+    replace_slice(df.withColumn(column, F.lit(run_id)), path, {column: run_id})
 
 
 def store_clusters(df: DataFrame, path: str, cluster: str, expected: int) -> None:

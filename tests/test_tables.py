@@ -30,11 +30,23 @@ def test_replace_slices_leaves_others(spark, rows, tmp_path):
     assert collected(spark.read.parquet(path), "season", "v") == [(1, 10), (2, 22)]
 
 
-def test_append_and_latest_run(spark, rows, tmp_path):
+def test_a_repeated_run_takes_the_place_of_its_first_try(spark, rows, tmp_path):
     path = str(tmp_path / "t")
-    for run in (1, 2):
-        sinks.append_run(rows("v int", (run * 10,)), path, run)
-    assert collected(sinks.latest_run(spark.read.parquet(path)), "v") == [(20,)]
+    for run, value in ((1, 10), (2, 15), (2, 20)):
+        sinks.append_run(rows("v int", (value,)), path, run)
+    assert collected(spark.read.parquet(path), "run_id", "v") == [(1, 10), (2, 20)]
+
+
+def test_slices_with_odd_values(spark, rows, tmp_path):
+    path = str(tmp_path / "t")
+    names = ["a/b", "c=d", "e:f", None, "%"]
+    sinks.overwrite(rows("name string, v int", *[(n, 1) for n in names]), path, ["name"])
+    for name in names:
+        sinks.replace_slice(rows("name string, v int", (name, 2)), path, {"name": name})
+    assert {(r["name"], r["v"]) for r in spark.read.parquet(path).collect()} == {(n, 2) for n in names}
+    for name in names[:4]:
+        sinks.replace_slice(rows("name string, v int"), path, {"name": name})
+    assert collected(spark.read.parquet(path), "name", "v") == [("%", 2)]
 
 
 def test_store_clusters(rows, tmp_path):
