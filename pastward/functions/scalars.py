@@ -100,18 +100,32 @@ def _single_letter_folds() -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
+def _ligatures() -> dict[str, str]:
+    """Latin ligatures and digraphs with several ASCII letters for a decomposition."""
+    out = {}
+    for code in [*range(0x80, 0x250), *range(0xFB00, 0xFB07)]:
+        base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+        if len(base) > 1 and base.isascii() and base.isalpha():
+            out[chr(code)] = base
+    return out
+
+
 _FOLD_FROM, _FOLD_TO = _single_letter_folds()
+_LIGATURES = _ligatures()
 assert sys.maxunicode > 0xFFFF
 
 
 def strip_accents(text) -> Column:
     """Fold accented and width variants to ASCII inside the JVM.
 
-    Covers every character of the basic plane that decomposes to one letter or digit;
-    marks that stand alone are dropped. Ligatures that decompose to several
-    letters stay as they are.
+    Covers every character of the basic plane that decomposes to one letter or digit, and Latin
+    ligatures and digraphs; marks that stand alone are dropped.
     """
-    return F.regexp_replace(F.translate(_c(text), _FOLD_FROM, _FOLD_TO), r"\p{M}+", "")
+    plain = F.regexp_replace(F.translate(_c(text), _FOLD_FROM, _FOLD_TO), r"\p{M}+", "")
+    unfolded = plain
+    for letter, letters in _LIGATURES.items():
+        unfolded = F.replace(unfolded, F.lit(letter), F.lit(letters))
+    return F.when(plain.rlike("[" + "".join(_LIGATURES) + "]"), unfolded).otherwise(plain)
 
 
 def normalize_name(text) -> Column:

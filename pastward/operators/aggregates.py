@@ -85,13 +85,6 @@ def cross_tab(df: DataFrame, row: list[str], column: str, values: list[str]) ->
     return df.groupBy(*row).agg(*[F.count_if(F.col(column) == v).alias(str(v)) for v in values])
 
 
-def pooled_mean(cols: list[str]) -> Column:
-    """Mean over the known cells of several columns, as one aggregate."""
-    total = sum((F.coalesce(F.sum(c), F.lit(0.0)) for c in cols), F.lit(0.0))
-    count = sum((F.count(c) for c in cols), F.lit(0))
-    return F.try_divide(total, count)
-
-
 def latest_run(df: DataFrame, run: str, aggregates: list[Column]) -> DataFrame:
     """Metadata of the newest run."""
     return df.groupBy(run).agg(*aggregates).orderBy(F.col(run).desc()).limit(1)

@@ -113,13 +113,3 @@ def latest_by(df: DataFrame, keys: list[str], order: list[Column | str]) -> Data
     """
     rest = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
-
-
-def running_before(df: DataFrame, entity: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
-    """Running totals of all earlier rows of the entity, 0 at its first row.
-
-    For tables already reduced to one row per (entity, period), whose rows per entity
-    are bounded by the number of periods.
-    """
-    past = Window.partitionBy(*entity).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumns({name: F.coalesce(F.sum(value).over(past), F.lit(0)) for name, value in sums.items()})

@@ -29,7 +29,7 @@ def identity_join(summary: DataFrame, master: DataFrame) -> DataFrame:
     """Exact match of (season, source id) with the master list of the season."""
     seasons = master.select("season").distinct().withColumn("_listed", F.lit(True))
     entries = master.withColumnRenamed("element_id", "player_source_id")
-    joined = summary.join(entries, KEY, "left").join(F.broadcast(seasons), "season", "left")  # one row per season
+    joined = summary.join(entries, KEY, "left").join(seasons, "season", "left")
     matched = F.col("code").isNotNull()
     return joined.withColumns({
         "mapping_method": F.when(matched, "id_exact").otherwise("unmatched"),

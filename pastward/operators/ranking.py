@@ -20,39 +20,55 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str =
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
-def _discounted_gain(df: DataFrame, period: list[str], score: str, gain: str, k: int, name: str) -> DataFrame:
-    """Discounted gain of the first k places, tied rows sharing the mean gain of their places."""
+def _discounted_gains(df: DataFrame, period: list[str], score: str, gain: str, ks: tuple, name: str) -> DataFrame:
+    """Discounted gain of the first k places for each k, tied rows sharing the mean gain of their places.
+
+    Ranked once, up to the largest k.
+    """
     groups = df.groupBy(*period, score).agg(F.count("*").alias("_n"), F.avg(gain).alias("_g"))
     best_first = Window.partitionBy(*period).orderBy(F.col(score).desc())
-    first = groups.withColumn("_place", F.row_number().over(best_first)).filter(F.col("_place") <= k)
+    first = groups.withColumn("_place", F.row_number().over(best_first)).filter(F.col("_place") <= max(ks))
     end = F.sum("_n").over(best_first.rowsBetween(Window.unboundedPreceding, 0))
-    placed = first.withColumn("_end", end).filter(F.col("_end") - F.col("_n") < k)
-    places = F.sequence(F.col("_end") - F.col("_n") + 1, F.least(F.col("_end"), F.lit(k)))
-    discount = F.aggregate(places, F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
-    return placed.groupBy(*period).agg(F.sum(F.col("_g") * discount).alias(name))
+    placed = first.withColumn("_end", end).withColumn("_start", F.col("_end") - F.col("_n")).filter(F.col("_start") < max(ks))
 
+    def gain_at(k: int) -> Column:
+        places = F.sequence(F.col("_start") + 1, F.least(F.col("_end"), F.lit(k)))
+        discount = F.aggregate(places, F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
+        return F.sum(F.when(F.col("_start") < k, F.col("_g") * discount)).alias(f"{name}{k}")
 
-def ndcg(df: DataFrame, period: list[str], target: str, prediction: str, k: int) -> DataFrame:
-    """NDCG@k per period. Gains are targets above the period minimum; equal targets give 1."""
+    return placed.groupBy(*period).agg(*[gain_at(k) for k in ks])
+
+
+def ndcgs(df: DataFrame, period: list[str], target: str, prediction: str, ks: tuple) -> DataFrame:
+    """NDCG@k per period for each k, as ``ndcg_at_<k>``. Gains are targets above the period minimum; equal targets give 1."""
     least = df.groupBy(*period).agg(F.min(target).alias("_min"))
     rows = df.select(*period, F.col(target).cast("double").alias("_t"), F.col(prediction).alias("_p")).join(least, period)
     rows = rows.withColumn("_gain", F.col("_t") - F.col("_min"))
-    actual = _discounted_gain(rows, period, "_p", "_gain", k, "dcg")
-    ideal = _discounted_gain(rows, period, "_t", "_gain", k, "ideal")
+    actual = _discounted_gains(rows, period, "_p", "_gain", ks, "_dcg")
+    ideal = _discounted_gains(rows, period, "_t", "_gain", ks, "_ideal")
     return actual.join(ideal, period).select(
-        *period, F.when(F.col("ideal") > 0, F.col("dcg") / F.col("ideal")).otherwise(1.0).alias("ndcg")
+        *period, *[F.when(F.col(f"_ideal{k}") > 0, F.col(f"_dcg{k}") / F.col(f"_ideal{k}")).otherwise(1.0).alias(f"ndcg_at_{k}") for k in ks]
     )
 
 
-def top_capture(df: DataFrame, period: list[str], target: str, prediction: str, row_id: str, k: int) -> DataFrame:
-    """Points of the k best predicted rows as a share of the k best rows, per period."""
+def ndcg(df: DataFrame, period: list[str], target: str, prediction: str, k: int) -> DataFrame:
+    return ndcgs(df, period, target, prediction, (k,)).withColumnRenamed(f"ndcg_at_{k}", "ndcg")
+
+
+def top_captures(df: DataFrame, period: list[str], target: str, prediction: str, row_id: str, ks: tuple) -> DataFrame:
+    """Points of the k best predicted rows as a share of the k best rows, per period, as ``captured_<k>``; NULL where the best have none."""
 
     def best(by: str, name: str) -> DataFrame:
-        rows = top_k(df.select(*dict.fromkeys([*period, target, by, row_id])), period, [F.col(by).desc(), F.col(row_id)], k)
-        return rows.groupBy(*period).agg(F.sum(target).cast("double").alias(name))
+        rows = top_k(df.select(*dict.fromkeys([*period, target, by, row_id])), period, [F.col(by).desc(), F.col(row_id)], max(ks))
+        return rows.groupBy(*period).agg(*[F.sum(F.when(F.col("rank") <= k, F.col(target))).cast("double").alias(f"{name}{k}") for k in ks])
+
+    both = best(target, "_best").join(best(prediction, "_picked"), period)
+    return both.select(*period, *[F.when(F.col(f"_best{k}") > 0, F.col(f"_picked{k}") / F.col(f"_best{k}")).alias(f"captured_{k}") for k in ks])
 
-    both = best(target, "_best").join(best(prediction, "_picked"), period).filter(F.col("_best") > 0)
-    return both.select(*period, (F.col("_picked") / F.col("_best")).alias("captured"))
+
+def top_capture(df: DataFrame, period: list[str], target: str, prediction: str, row_id: str, k: int) -> DataFrame:
+    rows = top_captures(df, period, target, prediction, row_id, (k,))
+    return rows.filter(F.col(f"captured_{k}").isNotNull()).withColumnRenamed(f"captured_{k}", "captured")
 
 
 def ranking_report(
@@ -72,10 +88,9 @@ def ranking_report(
         F.floor(t) if target_bucket is None else target_bucket,
         F.floor(p * 4) if prediction_bucket is None else prediction_bucket,
     )
-    parts = [plain, moments, rank]
-    for k in ks:
-        parts.append(ndcg(df, period, target, prediction, k).agg(F.avg("ndcg").alias(f"ndcg_at_{k}")))
-        parts.append(top_capture(df, period, target, prediction, row_id, k).agg(F.avg("captured").alias(f"top{k}_points_captured")))
+    gains = ndcgs(df, period, target, prediction, ks).agg(*[F.avg(f"ndcg_at_{k}").alias(f"ndcg_at_{k}") for k in ks])
+    captures = top_captures(df, period, target, prediction, row_id, ks).agg(*[F.avg(f"captured_{k}").alias(f"top{k}_points_captured") for k in ks])
+    parts = [plain, moments, rank, gains, captures]
     out = None
     for part in parts:
         rows = struct_rows(part, [F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in part.columns])

@@ -46,25 +46,26 @@ def season_starts(matches: DataFrame, league: str, season: str, time: str) -> Da
 
 
 def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    league, ratings, seasons = object(), {}, {}
+    current, ratings, seasons = object(), {}, {}
+    names = ("league", "season", "home", "away", "score", "home_start", "away_start")
     for batch in batches:
         opening_home, opening_away = [], []
-        for row in batch.itertuples(index=False):
-            if row.league != league:
-                league, ratings, seasons = row.league, {}, {}
-            for team, start in ((row.home, row.home_start), (row.away, row.away_start)):
-                if seasons.get(team) != row.season:
-                    seasons[team] = row.season
+        for league, season, home, away, score, home_start, away_start in zip(*(batch[c].tolist() for c in names)):
+            if league != current:
+                current, ratings, seasons = league, {}, {}
+            for team, start in ((home, home_start), (away, away_start)):
+                if seasons.get(team) != season:
+                    seasons[team] = season
                     if start == "initial":
                         ratings[team] = INITIAL
                     elif start != "carried":
                         ratings[team] = NEWCOMER
-            home, away = ratings[row.home], ratings[row.away]
-            expected = 1 / (1 + 10 ** ((away - (home + HOME_ADVANTAGE)) / SCALE))
-            ratings[row.home] = home + K * (row.score - expected)
-            ratings[row.away] = away + K * ((1.0 - row.score) - (1 - expected))
-            opening_home.append(home)
-            opening_away.append(away)
+            home_rating, away_rating = ratings[home], ratings[away]
+            expected = 1 / (1 + 10 ** ((away_rating - (home_rating + HOME_ADVANTAGE)) / SCALE))
+            ratings[home] = home_rating + K * (score - expected)
+            ratings[away] = away_rating + K * ((1.0 - score) - (1 - expected))
+            opening_home.append(home_rating)
+            opening_away.append(away_rating)
         yield pd.DataFrame({
             "match_id": batch["match_id"], "home_elo_before": opening_home, "away_elo_before": opening_away,
         })

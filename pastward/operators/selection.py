@@ -17,17 +17,18 @@ def undominated(players: DataFrame, group: list[str], cost: str, points: str, ro
 
     A player with ``keep`` others of the group that cost no more and score no less is never
     needed, as at most that many of a team are allowed. Players are first cut to the best
-    ``keep`` per price, before any shuffle; what is left of a group is a few rows per price level, and
-    the better-or-equal scores among cheaper prices are read off without pairing players.
+    ``keep`` per price, before any shuffle. Then they are ordered by price, best first, and the ``keep``-th best score before a
+    player decides. The best scores so far are running maxima: whatever a new score beats, or is beaten by, moves on to the
+    next place. Nothing is collected.
     """
     level = Window.partitionBy(*group, cost).orderBy(F.col(points).desc(), row_id)
-    best = players.withColumn("_at_price", F.row_number().over(level)).filter(F.col("_at_price") <= keep)
-    per_price = best.groupBy(*group, cost).agg(F.collect_list(points).alias("_scores"))
-    cheaper = Window.partitionBy(*group).orderBy(cost).rowsBetween(Window.unboundedPreceding, -1)
-    below = per_price.select(*group, cost, F.flatten(F.collect_list("_scores").over(cheaper)).alias("_below"))
-    rows = best.join(below, [*group, cost])
-    cheaper_as_good = F.size(F.filter("_below", lambda s: s >= F.col(points)))
-    return rows.filter(cheaper_as_good + F.col("_at_price") - 1 < keep).select(*players.columns)
+    rows = players.withColumn("_at_price", F.row_number().over(level)).filter(F.col("_at_price") <= keep)
+    before = Window.partitionBy(*group).orderBy(cost, F.col(points).desc(), row_id).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_moving", F.col(points))
+    for _ in range(keep):
+        rows = rows.withColumn("_best", F.max("_moving").over(before))
+        rows = rows.withColumn("_moving", F.when(F.col("_best").isNotNull(), F.least("_moving", "_best")))
+    return rows.filter(F.col("_best").isNull() | (F.col("_best") < F.col(points))).select(*players.columns)
 
 
 def squad_check(squads: DataFrame, squad: str, budget: int = BUDGET) -> DataFrame:

@@ -52,6 +52,21 @@ def apply_scores(predictions: DataFrame, scored: DataFrame, key: str, cols: list
     ])
 
 
+def insert_counts(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: source rows, keys that ``insert_new`` adds, and source rows that it skips."""
+    counts = source.groupBy(*keys).agg(F.count("*").alias("_n")).join(target.select(*keys).distinct().withColumn("_held", F.lit(True)), keys, "left")
+    inserted = F.count_if(F.col("_held").isNull())
+    total = F.coalesce(F.sum("_n"), F.lit(0))
+    return counts.agg(total.alias("source_rows"), inserted.alias("inserted"), (total - inserted).alias("skipped"))
+
+
+def score_counts(predictions: DataFrame, scored: DataFrame, key: str, guard: str) -> DataFrame:
+    """One row: scores given, applied, met by a row scored before, and without a row. The last three sum up to the first."""
+    joined = scored.select(key).join(predictions.select(key, F.lit(True).alias("_row"), F.col(guard).isNull().alias("_open")), key, "left")
+    return joined.agg(
+        F.count("*").alias("given"), F.count_if(F.col("_open")).alias("applied"), F.count_if(~F.col("_open")).alias("scored_before"), F.count_if(F.col("_row").isNull()).alias("unknown"))
+
+
 def assert_no_existing(rows: DataFrame, target: DataFrame, keys: list[str]) -> None:
     """Refuse rows whose key the target already holds."""
     clash = rows.join(target.select(*keys), keys, "left_semi").limit(5).collect()

@@ -279,6 +279,14 @@ def insert_if_absent(tables):
     return upsert.insert_if_absent(stored, source, ["player_id"], ["run_id", "snapshot_id"])
 
 
+@query("B3", f"""
+WITH {_STORED} SELECT count(*) AS source_rows, count(DISTINCT player_id) FILTER (player_id NOT IN (SELECT player_id FROM stored)) AS inserted,
+ count(*) - count(DISTINCT player_id) FILTER (player_id NOT IN (SELECT player_id FROM stored)) AS skipped FROM source""")
+def inserted_counts(tables):
+    stored, source = stored_and_source(tables)
+    return upsert.insert_counts(stored, source, ["player_id"])
+
+
 @query("B4", f"""
 WITH {_STORED}, s AS (SELECT * FROM source QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY run_id DESC, snapshot_id DESC) = 1)
 SELECT coalesce(t.player_id, s.player_id) AS player_id, CASE WHEN s.player_id IS NOT NULL THEN s.run_id ELSE t.run_id END AS run_id, CASE WHEN t.player_id IS NOT NULL THEN t.snapshot_id ELSE s.snapshot_id END AS snapshot_id,
@@ -300,3 +308,10 @@ def scores_applied(tables):
         "match_id", scalars.outcome("home_goals", "away_goals").alias("scored_as"), F.col("match_date").alias("scored_on")
     )
     return upsert.apply_scores(stored, scored, "match_id", ["scored_as", "scored_on"], "scored_on")
+
+
+@query("B5", """
+SELECT count(*) AS given, count(*) FILTER (season BETWEEN 1997 AND 1999) AS applied, count(*) FILTER (season < 1997) AS scored_before, CAST(0 AS BIGINT) AS unknown FROM matches WHERE season <= 1999""")
+def applied_score_counts(tables):
+    stored = tables.matches.select("match_id", F.when(F.col("season") < 1997, F.col("match_date")).alias("scored_on"))
+    return upsert.score_counts(stored, tables.matches.filter("season <= 1999").select("match_id"), "match_id", "scored_on")

@@ -74,15 +74,20 @@ def ridge_scores(tables):
 def per_position_scores(tables):
     train, test = _player_sets(tables)
     scored = models.per_group_regressors(train, test, "position", [1, 2, 3, 4], POINTS, "target")
-    return rounded(metrics.regression_scores(scored, "target", "prediction", ["position"]))
+    own = metrics.regression_scores(scored, "target", "prediction", ["position"]).withColumn("scope", F.lit("position"))
+    combined = metrics.regression_scores(scored, "target", "prediction").withColumns({"position": F.lit(None).cast("int"), "scope": F.lit("all")})
+    known = test.withColumn("prediction", F.coalesce("prior_points_last5", F.lit(0.0)))
+    average = metrics.regression_scores(known, "target", "prediction", ["position"]).withColumn("scope", F.lit("last5_average"))
+    return rounded(own.unionByName(combined).unionByName(average))
 
 
 @query("K15 B10")
 def style_clusters(tables):
     rows = style_form(tables).filter(F.col("style_matches_last5") >= 5)
     rows = materialize(rows.select("match_id", "league", "team", *models.STYLE_INPUTS))
-    clustered = models.assign_clusters(models.fit_clusters(rows, list(models.STYLE_INPUTS)), rows)
-    return clustered.join(models.cluster_labels(clustered), "style_cluster").select("match_id", "league", "team", "style_cluster", "style_label")
+    model = models.fit_clusters(rows, list(models.STYLE_INPUTS))
+    clustered = models.assign_clusters(model, rows).withColumn("silhouette", F.lit(models.silhouette(model, rows)))
+    return clustered.join(models.cluster_labels(clustered), "style_cluster").select("match_id", "league", "team", "style_cluster", "style_label", "silhouette")
 
 
 _STYLE = """
