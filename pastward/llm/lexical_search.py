@@ -23,8 +23,8 @@ from pastward.llm.words import hasher
 
 K1, B = 1.2, 0.75
 TOP = 10
-SEGMENT_DOCUMENTS = 16_384
-SEGMENT_POSTINGS = 8 << 20
+SEGMENT_DOCUMENTS = 8_192
+SEGMENT_POSTINGS = 4 << 20
 SHARD_DOCUMENTS = 8_192
 QUERY_BLOCK = 512
 BLOCK = 64
@@ -42,7 +42,7 @@ def _segment(number: int, ids: list, found: list, lengths: list) -> list:
     order = np.lexsort((np.array(lengths), commonest))
     sizes = np.array([len(found[k][0]) for k in order])
     terms = np.concatenate([found[k][0] for k in order] or [np.zeros(0, np.uint64)])
-    counts = np.concatenate([found[k][1] for k in order] or [np.zeros(0, np.int64)]).astype("<u4")
+    counts = np.concatenate([found[k][1] for k in order] or [np.zeros(0, np.uint32)]).astype("<u4")
     documents = np.repeat(np.arange(len(order), dtype="<u4"), sizes)
     by_term = np.argsort(terms, kind="stable")
     distinct, frequency = np.unique(terms, return_counts=True)
@@ -68,7 +68,8 @@ def index(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: s
         for doc_id, text in rows_of(batches):
             words = hashes(text)
             ids.append(doc_id)
-            found.append(np.unique(words, return_counts=True))
+            terms, counts = np.unique(words, return_counts=True)
+            found.append((terms, counts.astype(np.uint32)))
             lengths.append(len(words))
             held += len(found[-1][0])
             if len(ids) >= SEGMENT_DOCUMENTS or held >= SEGMENT_POSTINGS:
@@ -167,22 +168,42 @@ class Shard:
     def __init__(self, rows: list[tuple]):
         import numpy as np
 
-        self.ids, lengths, terms, documents, counts = [], [], [], [], []
+        self.ids, lengths, terms, sizes, documents, counts = [], [], [], [], [], []
         for ids, length, term, frequency, postings in rows:
             base, size = len(self.ids), len(length) // 4
             nulls = ids[8 * size:]
             self.ids += [None if null else int(v) for v, null in zip(np.frombuffer(ids, "<i8", size), nulls)]
             lengths.append(np.frombuffer(length, "<u4"))
-            terms.append(np.repeat(np.frombuffer(term, "<u8"), np.frombuffer(frequency, "<u4")))
+            terms.append(np.frombuffer(term, "<u8"))
+            sizes.append(np.frombuffer(frequency, "<u4").astype(np.int32))
             both = np.frombuffer(postings, "<u4").reshape(2, -1)
-            documents.append(both[0].astype(np.int64) + base)
+            documents.append(both[0].view(np.int32) + np.int32(base))
             counts.append(both[1])
-        terms = np.concatenate(terms)
-        order = np.argsort(terms, kind="stable")
         self.lengths = np.concatenate(lengths).astype(float)
-        self.documents, self.counts = np.concatenate(documents)[order], np.concatenate(counts)[order].astype(float)
-        self.terms, self.starts = np.unique(terms[order], return_index=True)
-        self.ends = np.append(self.starts[1:], len(terms))
+        if len(rows) == 1:  # its postings are in order
+            self.terms, self.documents, self.counts = terms[0], documents[0], counts[0]
+            self.ends = np.cumsum(sizes[0])
+            self.starts = self.ends - sizes[0]
+            return
+        lists, lengths = np.concatenate(terms), np.concatenate(sizes)
+        order = np.argsort(lists, kind="stable")
+        at = _ranges((np.cumsum(lengths) - lengths)[order], lengths[order])
+        self.documents, self.counts = np.concatenate(documents)[at], np.concatenate(counts)[at]
+        self.terms, first = np.unique(lists[order], return_index=True)
+        self.ends = np.cumsum(lengths[order])[np.append(first[1:], len(order)) - 1]
+        self.starts = np.append(0, self.ends[:-1])
+
+    def _values(self, at, idf, mean: float):
+        """Contributions, in units, of the postings at ``at``; a part at a time, to keep what is held small."""
+        import numpy as np
+
+        out = np.empty(len(at), np.int32)
+        for low in range(0, len(at), 1 << 17):
+            part = at[low:low + (1 << 17)]
+            counts = self.counts[part].astype(float)
+            norm = K1 * (1 - B + B * self.lengths[self.documents[part]] / mean)
+            out[low:low + len(part)] = np.rint(UNIT * (idf[low:low + len(part)] * (counts * (K1 + 1) / (counts + norm))))
+        return out
 
     def best(self, block: bytes, total: int, mean: float, k: int):
         """(query ids, documents, scores in units) of the best ``k`` of every query of a block."""
@@ -195,18 +216,19 @@ class Shard:
         begin, end = np.where(here, self.starts[place], 0), np.where(here, self.ends[place], 0)
         lengths = end - begin
         at = _ranges(begin, lengths)
-        documents, counts = self.documents[at], self.counts[at]
         idf = np.log(1 + (total - frequency + 0.5) / (frequency + 0.5))
-        norm = K1 * (1 - B + B * self.lengths[documents] / mean)
-        value = np.rint(UNIT * (np.repeat(idf, lengths) * (counts * (K1 + 1) / (counts + norm))))
+        value = self._values(at, np.repeat(idf, lengths), mean)
+        documents = self.documents[at]
+        del at
         offset = np.cumsum(lengths) - lengths
         frequent = lengths * FREQUENT > size
         row = np.cumsum(frequent) - 1
         blocks = -(-size // BLOCK)
-        dense = np.zeros((int(frequent.sum()), blocks * BLOCK))
-        many = np.repeat(frequent, lengths)
-        dense[np.repeat(row, lengths)[many], documents[many]] = value[many]
-        highest = dense.reshape(len(dense), blocks, BLOCK).max(2) if len(dense) else np.zeros((0, blocks))
+        dense = np.zeros((int(frequent.sum()), blocks * BLOCK), np.int32)
+        for k in np.flatnonzero(frequent).tolist():
+            part = slice(offset[k], offset[k] + lengths[k])
+            dense[row[k], documents[part]] = value[part]
+        highest = dense.reshape(len(dense), blocks, BLOCK).max(2) if len(dense) else np.zeros((0, blocks), np.int32)
 
         out = [[], [], []]
         for q in range(len(queries)):
@@ -247,7 +269,9 @@ def _ranges(begin, lengths):
     """All positions of the ranges that start at ``begin``, one range after the other."""
     import numpy as np
 
-    return np.repeat(begin - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))
+    out = np.repeat((begin - np.cumsum(lengths) + lengths).astype(np.int32), lengths)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
 
 
 def search(segments: DataFrame, queries: DataFrame, scratch: Scratch, k: int = TOP) -> DataFrame:
