@@ -225,9 +225,9 @@ class Shard:
         row = np.cumsum(frequent) - 1
         blocks = -(-size // BLOCK)
         dense = np.zeros((int(frequent.sum()), blocks * BLOCK), np.int32)
-        for k in np.flatnonzero(frequent).tolist():
-            part = slice(offset[k], offset[k] + lengths[k])
-            dense[row[k], documents[part]] = value[part]
+        for term in np.flatnonzero(frequent).tolist():
+            part = slice(offset[term], offset[term] + lengths[term])
+            dense[row[term], documents[part]] = value[part]
         highest = dense.reshape(len(dense), blocks, BLOCK).max(2) if len(dense) else np.zeros((0, blocks), np.int32)
 
         out = [[], [], []]
