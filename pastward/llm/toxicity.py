@@ -7,7 +7,7 @@ weights of the linear score. Only the text is an input of a score.
 
 The fit uses at most ``SAMPLE`` labelled texts, picked by a hash of the id from all labelled rows, of which those with
 label 1 at most ``POSITIVE``; the intercept is shifted back to the share of label 1 among all labelled rows.
-``FEATURES`` buckets with the largest ratio times the root of their count are kept.
+``FEATURES`` buckets with the largest ratio times the root of their count are kept, of those that at least four texts have.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ BITS = 20
 BUCKETS = 1 << BITS
 SAMPLE = 6_000
 POSITIVE = 2_000
-FEATURES = 30_000
-SMOOTHING = 0.5
-RIDGE = 1e-3
-ROUNDS = 150
+FEATURES = 3_000
+SMOOTHING = 2.0
+RIDGE = 1.0
+ROUNDS = 200
 THRESHOLD = 0.3
 
 
@@ -123,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, positive: int
             return Model(np.zeros(BUCKETS, np.float32).tobytes(), math.log(p / (1 - p)))
         counts = sampled.mapInArrow(counted, "bucket int, q long, p long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
         ratio = F.log((F.col("p") + SMOOTHING) / (kinds[1] + SMOOTHING)) - F.log((F.col("q") + SMOOTHING) / (kinds[0] + SMOOTHING))
-        best = counts.filter("p + q >= 3").withColumn("ratio", ratio)
+        best = counts.filter("p + q >= 4").withColumn("ratio", ratio)
         best = best.orderBy((F.abs("ratio") * F.sqrt(F.col("p") + F.col("q"))).desc(), "bucket").limit(FEATURES).select("bucket", "ratio").toPandas()
         ratios = np.zeros(BUCKETS)
         ratios[best["bucket"].to_numpy()] = best["ratio"].to_numpy()
