@@ -194,7 +194,9 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[int] | None:
     """Ids of one document: finds its file by the bounds in the table, decodes one frame."""
     files, dictionary = _opened(spark, path)
-    for row in files.filter((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id)).select("file").toLocalIterator():
+    # Null ids stand first, so a file that begins with one may hold any id up to its last.
+    within = F.coalesce(F.col("first_id") <= doc_id, F.lit(True)) & (F.col("last_id") >= doc_id)
+    for row in files.filter(within).select("file").toLocalIterator():
         file = TokenFile(bytes(row[0]), dictionary)
         if doc_id in file.ids:
             return file.document(file.ids.index(doc_id)).tolist()
