@@ -66,7 +66,25 @@ def team_history_payloads(tables):
     return payloads.parse_team_history(rows, "payload", 2024).select("team_id", "team_name", "match_date", "venue", "xg", "xga", "ppda", "ppda_allowed", "scored", "missed")
 
 
-@query("A8 A9", """
+@query("A8", """
+SELECT CAST(match_id AS INT) AS player_id, CASE WHEN match_id % 3 = 0 THEN 2 ELSE 1 END AS event_id, CASE WHEN match_id % 5 = 0 THEN 'W' || match_id ELSE 'F' || match_id || ' L' END AS player_name,
+ CASE WHEN match_id % 4 <> 0 THEN 'T' || home_team END AS team_name, home_goals AS now_cost, home_xg AS form, CASE WHEN match_id % 2 = 0 THEN 'a' ELSE 'd' END AS status FROM matches""")
+def player_snapshot_payloads(tables):
+    key = F.col("match_id")
+    named = key % 5 != 0
+    player = F.struct(
+        key.alias("id"), F.when(named, F.concat(F.lit("F"), _text("match_id"))).otherwise(" ").alias("first_name"), F.when(named, "L").otherwise("").alias("second_name"),
+        F.concat(F.lit("W"), _text("match_id")).alias("web_name"), F.col("home_team").alias("team"), F.col("home_goals").alias("now_cost"), _text("home_xg").alias("form"),
+        F.when(key % 2 == 0, "a").otherwise("d").alias("status"))
+    events = F.array(
+        F.struct(F.lit(1).alias("id"), F.lit(False).alias("is_next"), (key % 2 == 0).alias("is_current")), F.struct(F.lit(2).alias("id"), (key % 3 == 0).alias("is_next"), F.lit(False).alias("is_current")))
+    team = F.when(key % 4 == 0, -1).otherwise(F.col("home_team"))
+    teams = F.array(F.struct(team.alias("id"), F.concat(F.lit("T"), _text("home_team")).alias("name")))
+    rows = tables.matches.select(F.to_json(F.struct(events.alias("events"), teams.alias("teams"), F.array(player).alias("elements"))).alias("payload"))
+    return payloads.parse_player_snapshot(rows, "payload").select("player_id", "event_id", "player_name", "team_name", "now_cost", "form", "status")
+
+
+@query("A9", """
 SELECT CAST(match_id AS INT) AS fixture_id, CASE WHEN match_id % 3 <> 0 THEN CAST(season AS INT) END AS event_id, kickoff_time, home_team AS team_h_id, away_team AS team_a_id, 'T' || home_team AS team_h_name,
  CASE WHEN match_id % 4 = 0 THEN 'S' || away_team ELSE 'T' || away_team END AS team_a_name, CASE WHEN match_id % 6 <> 0 THEN home_goals END AS team_h_score, match_id % 6 <> 0 AS finished FROM matches""")
 def fixture_payloads(tables):
