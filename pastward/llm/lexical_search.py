@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pastward.llm.shared import Scratch, bit_filter, out_batch, rows_of
+from pastward.llm.shared import Scratch, out_batch, rows_of
 from pastward.llm.words import hasher
 
 K1, B = 1.2, 0.75
@@ -118,15 +118,18 @@ def _query_blocks(terms: DataFrame, blocks: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        import zstandard
+
         schema = pa.schema([("block", pa.int32()), ("data", pa.binary())])
+        pack = zstandard.ZstdCompressor(level=3).compress
 
         def close(block, parts):
             ids, hashes, documents = (np.concatenate(p) for p in zip(*parts))
             distinct, first, where = np.unique(hashes.view(np.uint64), return_index=True, return_inverse=True)
             queries, starts = np.unique(ids, return_index=True)
             head = np.array([len(distinct), len(queries), len(ids)], "<i8")
-            data = [head, distinct.astype("<u8"), documents[first].astype("<i8"), queries.astype("<i8"), np.append(starts, len(ids)).astype("<i8"), where.astype("<u4")]
-            return out_batch(schema, [[block], [b"".join(d.tobytes() for d in data)]])
+            data = [head, _steps(distinct.astype("<u8")), documents[first].astype("<i8"), queries.astype("<i8"), np.append(starts, len(ids)).astype("<i8"), _steps(where.astype("<u4"))]
+            return out_batch(schema, [[block], [pack(b"".join(d.tobytes() for d in data))]])
 
         current, parts = None, []
         for batch in batches:
@@ -151,15 +154,24 @@ def _runs(values):
     return [0, *edges.tolist()] if len(values) else [], [*edges.tolist(), len(values)] if len(values) else []
 
 
+def _steps(values):
+    """Differences to the value before, which compress better; sums give the values back, whatever wraps around."""
+    import numpy as np
+
+    return np.diff(values, prepend=values.dtype.type(0))
+
+
 def _unpacked_block(data: bytes):
     import numpy as np
+    import zstandard
 
+    data = zstandard.ZstdDecompressor().decompress(data)
     terms, queries, size = np.frombuffer(data, "<i8", 3)
     out, at = [], 24
     for kind, count in (("<u8", terms), ("<i8", terms), ("<i8", queries), ("<i8", queries + 1), ("<u4", size)):
         out.append(np.frombuffer(data, kind, count, at))
         at += out[-1].nbytes
-    return out
+    return np.cumsum(out[0], dtype=np.uint64), *out[1:4], np.cumsum(out[4], dtype=np.uint32)
 
 
 class Shard:
@@ -285,7 +297,7 @@ def search(segments: DataFrame, queries: DataFrame, scratch: Scratch, k: int = T
     total, mean = totals["documents"] or 0, (totals["words"] or 0) / (totals["documents"] or 1) or 1.0
     terms = _query_terms(queries.filter("query_id IS NOT NULL").select(F.col("query_id").cast("long"), "text"))
     terms = scratch.keep(terms, "query_terms")
-    frequency = bit_filter(terms.select("term"), _frequencies(segments), "term").groupBy("term").agg(F.sum("documents").alias("documents"))
+    frequency = _frequencies(segments).groupBy("term").agg(F.sum("documents").alias("documents"))
     blocks = max(1, -(-terms.select("query_id").distinct().count() // QUERY_BLOCK))
     packed = scratch.keep(_query_blocks(terms.join(frequency, "term"), blocks), "query_blocks")
 
