@@ -23,9 +23,9 @@ from pastward.llm.words import hasher
 
 K1, B = 1.2, 0.75
 TOP = 10
-SEGMENT_DOCUMENTS = 8_192
-SEGMENT_POSTINGS = 4 << 20
-SHARD_DOCUMENTS = 8_192
+SEGMENT_DOCUMENTS = 4_096
+SEGMENT_POSTINGS = 2 << 20
+SHARD_DOCUMENTS = 4_096
 QUERY_BLOCK = 512
 BLOCK = 64
 #: A term is frequent in a shard if more than one in so many documents has it.
