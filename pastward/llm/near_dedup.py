@@ -156,9 +156,11 @@ def linked_groups(sets: list, percent: int, first: int | None = None) -> list[in
     """For each set the number of the first set of its component.
 
     ``first``: compare only pairs of one of the first so many sets and one of the rest. Counting goes through lists of
-    the sets that hold each shingle. Only sets outside the largest component are counted: a link between two components
-    has an end there.
+    the sets that hold each shingle. Sets of the largest component are passed over, and taken up again if another one
+    has become the largest: in the end all sets outside it are counted, and a link between two components has an end there.
     """
+    from collections import deque
+
     import numpy as np
 
     n = len(sets)
@@ -178,10 +180,15 @@ def linked_groups(sets: list, percent: int, first: int | None = None) -> list[in
     begin = np.cumsum(counts) - counts
     ends = np.cumsum(sizes)
     members = np.ones(n, int)
-    for i in range(n if first is None else first):
-        top = int(members.argmax())
-        if first is None and (members[top] == n or i and root(i) == top):
+    waiting, passed = deque(range(n if first is None else first)), 0
+    # Ends when all that wait lie in the largest component.
+    while passed < len(waiting):
+        i = waiting.popleft()
+        if first is None and root(i) == members.argmax():
+            waiting.append(i)
+            passed += 1
             continue
+        passed = 0
         own = shingle[ends[i] - sizes[i]:ends[i]]
         lengths = counts[own]
         places = np.repeat(begin[own] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())

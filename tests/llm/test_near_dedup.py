@@ -76,3 +76,16 @@ def test_special_rows(docs, clashing):
 
 def test_empty_table(docs):
     assert N.near_duplicates(docs()).collect() == []
+
+
+def test_two_clusters_joined_by_one_link_in_all_orders():
+    import numpy as np
+
+    # Two and three sets with the link 1-3 between them; linked sets share ten shingles that no other set has.
+    links = [(0, 1), (1, 3), (2, 3), (2, 4), (3, 4)]
+    sets = [np.concatenate([np.arange(10 * k, 10 * k + 10, dtype=np.uint64) for k, link in enumerate(links) if i in link]) for i in range(5)]
+    for order in itertools.permutations(range(5)):
+        assert N.linked_groups([sets[i] for i in order], 25) == [0] * 5, order
+        apart = [sets[i] if i != 3 else sets[i][10:] for i in order]
+        roots = N.linked_groups(apart, 25)
+        assert len({roots[order.index(i)] for i in (0, 1)}) == len({roots[order.index(i)] for i in (2, 3, 4)}) == 1 and len(set(roots)) == 2
