@@ -5,9 +5,8 @@ words as one shingle. Two documents are linked if ``100 * intersection >= percen
 
 1. Documents with equal sets form a class, by 128 bits of a hash; everything below works on classes.
 2. A signature has ``TREES`` strings of ``DEPTH`` min-hashes. For each tree the classes are sorted by its string, and
-   neighbours in that order whose common prefix is long enough are candidates. The prefix needed is ``LEAST`` values, and
-   one more as long as a region of the order in which all neighbours share it has over ``REGION`` classes. Sorting is by range, so a
-   large group is spread over tasks; the ends of the ranges are compared afterwards.
+   neighbours in that order whose common prefix has ``LEAST`` values or more are candidates, however many classes share it.
+   Sorting is by range, so a large group is spread over tasks; the ends of the ranges are compared afterwards.
 3. Candidate components are the groups in which sets are compared. Up to ``BLOCK`` classes they are compared in one task. A larger
    group is dealt into blocks that all hold its first class, the pivot. Whatever isn't connected to the pivot
    then is compared with every block. A link between two classes has an end of the second kind or is inside the pivot's component, so
@@ -27,6 +26,7 @@ from pastward.llm.shared import Scratch, bit_filter, out_batch, rows_of
 from pastward.llm.words import hasher
 
 TREES, DEPTH, LEAST = 20, 8, 4
+#: Limits nothing any more; a test of crowded regions sets it.
 REGION = 64
 BLOCK = 1_024
 _KEY = 2 * DEPTH
@@ -128,12 +128,7 @@ def neighbours(classes: DataFrame, scratch: Scratch) -> DataFrame:
                 ends.append((trees[0], keys[0], nodes[0]))
             carried = (trees[-1], keys[-1], nodes[-1])
             common = prefixes(np.array(trees), keys)
-            take = common >= LEAST
-            for depth in range(LEAST, DEPTH):
-                region = np.cumsum(np.concatenate([[0], common < depth]))
-                crowded = np.bincount(region)[region] > REGION
-                take &= ~((common == depth) & crowded[1:])
-            found = np.flatnonzero(take)
+            found = np.flatnonzero(common >= LEAST)
             if len(found):
                 yield out_batch(schema, [[nodes[i] for i in found], [nodes[i + 1] for i in found], *([[None] * len(found)] * 4)])
         if carried:

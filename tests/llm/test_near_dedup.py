@@ -89,3 +89,17 @@ def test_two_clusters_joined_by_one_link_in_all_orders():
         apart = [sets[i] if i != 3 else sets[i][10:] for i in order]
         roots = N.linked_groups(apart, 25)
         assert len({roots[order.index(i)] for i in (0, 1)}) == len({roots[order.index(i)] for i in (2, 3, 4)}) == 1 and len(set(roots)) == 2
+
+
+def test_crowded_regions_keep_their_short_prefixes(spark):
+    import numpy as np
+
+    from pastward.llm.shared import Scratch
+
+    # 100 classes share four values in the first order only, and each of 50 pairs all eight of them.
+    keys = np.random.default_rng(5).integers(0, 1 << 16, (100, N.TREES, N.DEPTH)).astype(">u2")
+    keys[:, 0, :4] = 7
+    keys[1::2, 0] = keys[::2, 0]
+    rows = [(bytes([i]), keys[i].tobytes()) for i in range(100)]
+    edges = N.neighbours(spark.createDataFrame(rows, "set_key binary, signature binary"), Scratch(spark, "near_dedup")).collect()
+    assert len({frozenset((bytes(a), bytes(b))) for a, b in edges}) == 99
