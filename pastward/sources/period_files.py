@@ -24,13 +24,22 @@ INTEGERS = ["minutes", "total_points", "goals_scored", "assists", "clean_sheets"
 NUMBERS = ["influence", "creativity", "threat", "ict_index", "expected_goals", "expected_assists", "selected"]
 
 
-_FIELD = r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'
+# Possessive throughout, so that Java matches in a loop and not by recursion.
+_QUOTED = r'"(?:[^"]++|"")*+"'
+_CELL = rf"(?:{_QUOTED}(?:[^,\r\n]|\r(?!\n))*+|(?:[^,\r\n]|\r(?!\n))*+)"
+_RECORD = rf"({_CELL}(?:,{_CELL})*+)(?:\r?\n|\z)"
+_FIELD = rf"(?:^|(?<=,))({_QUOTED}[^,]*+|[^,]*+)"
+
+
+def records(text: Column) -> Column:
+    """Lines of comma-separated text; a line break inside quotes does not end one."""
+    return F.regexp_extract_all(text, F.lit(_RECORD), F.lit(1))
 
 
 def fields(line: Column) -> Column:
     """Values of one line of comma-separated text; quotes around a value are taken off."""
     found = F.regexp_extract_all(line, F.lit(_FIELD), F.lit(1))
-    return F.transform(found, lambda v: F.when(v.startswith('"'), F.regexp_replace(F.substring(v, F.lit(2), F.length(v) - 2), '""', '"')).otherwise(v))
+    return F.transform(found, lambda v: F.when(v.rlike(rf"\A{_QUOTED}\z"), F.regexp_replace(F.substring(v, F.lit(2), F.length(v) - 2), '""', '"')).otherwise(v))
 
 
 def canonical_names(header: Column) -> Column:
@@ -74,11 +83,10 @@ def read_period_files(spark: SparkSession, root: str) -> DataFrame:
     fails while it is read.
     """
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "[gG][wW]*.csv")
-    files = reader.text(root, wholetext=True).select(F.split("value", "\r?\n").alias("lines"), F.col("_metadata.file_path").alias("path"))
+    files = reader.text(root, wholetext=True).select(records(F.regexp_replace("value", "^\ufeff", "")).alias("lines"), F.col("_metadata.file_path").alias("path"))
     files = files.filter(F.assert_true(F.col("path").rlike(r"/\d{4}-\d{2}/"), F.concat(F.lit("no season in the path "), F.col("path"))).isNull())
-    first = F.regexp_replace(F.get("lines", F.lit(0)), "^\ufeff", "")
     body = F.filter(F.slice("lines", F.lit(2), F.size("lines")), lambda line: F.trim(line) != "")
-    lines = files.select("path", canonical_names(fields(first)).alias("header"), F.explode(body).alias("line"))
+    lines = files.select("path", canonical_names(fields(F.get("lines", F.lit(0)))).alias("header"), F.explode(body).alias("line"))
     rows = lines.select("path", "header", fields(F.col("line")).alias("values"))
     return period_rows(
         rows, F.regexp_extract("path", r"/(\d{4}-\d{2})/", 1), F.regexp_extract("path", r"(?i)/gw(\d+)\.csv$", 1), F.regexp_extract("path", r"(\d{4}-\d{2}/.*)$", 1))

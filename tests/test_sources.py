@@ -168,3 +168,16 @@ def test_filter_by(rows):
     assert collected(filter_by(df, a=(">", 1), b=["x", "y"]), "a") == [(3,)]
     assert collected(filter_by(df, b=("is null", True)), "a") == [(2,)]
     assert filter_by(df.withColumn("c", F.lit(1)), c=1, a=2).count() == 1
+
+
+def test_lines_with_an_empty_first_field_and_quoted_breaks(spark, tmp_path):
+    cases = {",Bob,X,7": ["", "Bob", "X", "7"], "a,,b,": ["a", "", "b", ""], ",,": ["", "", ""], '"a,b",c': ["a,b", "c"], '"","say ""x""",5" y,"open': ["", 'say "x"', '5" y', '"open'], "": [""], "a": ["a"]}
+    rows = spark.createDataFrame([(k,) for k in cases], "line string")
+    assert {r[0]: r[1] for r in rows.select("line", period_files.fields(F.col("line"))).collect()} == cases
+    folder = tmp_path / "data" / "2020-21"
+    folder.mkdir(parents=True)
+    (folder / "gw1.csv").write_bytes('\ufeff,name,team,minutes\r\n,Bob,X,7\r\n1,"Eve\nLong",Y,8\r\n\r\n,Kim,"Z, W",9'.encode())
+    (folder / "gw2.csv").write_text("name,team,minutes\n" + f'"{"x" * 50000}",A,1\n' + "".join(f"P{k},B,{k}\n" for k in range(3000)))
+    got = collected(period_files.read_period_files(spark, str(tmp_path / "data")), "gameweek", "player_name", "team_name", "minutes")
+    assert sorted(r for r in got if r[0] == 1) == [(1, "Bob", "X", 7), (1, "Eve\nLong", "Y", 8), (1, "Kim", "Z, W", 9)]
+    assert sorted(r for r in got if r[0] == 2) == sorted([(2, "x" * 50000, "A", 1), *((2, f"P{k}", "B", k) for k in range(3000))])
