@@ -4,7 +4,8 @@ A page is a sequence of words and tags. Words score positive and tags negative,
 learned from pages that mark it themselves (exactly one ``article`` or ``main`` element) in a sample of at most
 ``SAMPLE`` pages picked by a hash. A linear scan finds the stretch with the greatest sum. Elements that are never part
 of an article (menus, forms, scripts, adverts, comments and so on, by element name, role or class) are taken
-out first and score as one tag. If the stretch lies in an ``article`` or ``main`` element, it is widened to that element's ends.
+out first and score as one tag. A class or id doesn't take out headings, paragraphs, what is or holds an ``article`` or
+``main`` element, nor what holds most of the words of the page. If the stretch lies in an ``article`` or ``main`` element, it is widened to that element's ends.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ FORBIDDING = -8.0
 ASIDE_SCORE = -2.0
 
 # HTML element names by their role here.
-_RAW = "script style noscript template iframe textarea title svg math canvas object"
+_RAW = "script style noscript template iframe textarea title svg canvas object"
 _ASIDE = set("nav footer aside form button select head menu dialog datalist audio video".split())
 _MARKS = {"article", "main"}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,6 +40,14 @@ _ASIDE_WORDS = set(
     "footer masthead comment comments commentlist respond reply replies disqus discussion cookie cookies consent gdpr notice notices notification popup modal overlay newsletter "
     "subscribe subscription signup social share sharing related recommended recommendations widget toolbar pagination pager login search skip "
     "copyright disclaimer alert paywall teaser".split())
+#: Of these, those that articles are about too: they count in names whose other parts are from the lists here, 'share-buttons' but not 'share-price'.
+_TOPICS = set("advertising aside promotion navigation discussion reply replies notice notices notification newsletter social share sharing related recommended recommendations search disclaimer alert".split())
+_FURNITURE = set(
+    "area article articles bar block body bottom box btn button buttons col column container content entry float follow form group header icon icons inner item items js "
+    "left link links list main media module more outer page panel pane post posts right row section site stories story text title top wrap wrapper".split())
+_COMMENTS = set("comment comments commentlist respond reply replies disqus".split())
+_NEGATING = {"no", "has", "have", "with", "without", "hide"}
+_TEXT_BLOCKS = set("h1 h2 h3 h4 h5 h6 p".split())
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({'|'.join(_RAW.split())})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|\Z)"
@@ -47,12 +56,25 @@ _ATTRIBUTE = re.compile(r"([a-z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|\b(hid
 _NAME_PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
+def _aside_words(names: str) -> set[str]:
+    """Words in the names of a class or id that mean it is never part of an article; 'no-sidebar' and 'has-comments' have none."""
+    found = set()
+    for name in names.split():
+        parts = [p.lower() for p in _NAME_PART.findall(name)]
+        cut = next((k for k, p in enumerate(parts) if p in _NEGATING), len(parts))
+        words = _ASIDE_WORDS.intersection(parts[:cut])
+        if words - _TOPICS or all(p in _ASIDE_WORDS or p in _FURNITURE for p in parts[:cut]):
+            found |= words
+    return found
+
+
 class Page:
     """Tokens of a page: (kind, value) with kind 'text', 'open' or 'close'; ``end`` has the close of each open tag."""
 
     def __init__(self, source: str):
         self.tokens: list[tuple[str, str, str]] = []
         self.end: dict[int, int] = {}
+        self._totals: tuple[list[tuple[int, bool]], list[int]] | None = None
         opened: dict[str, list[int]] = {}
         for raw, slash, name, attributes, text in (m.groups() for m in _TOKEN.finditer(source)):
             if text is not None:
@@ -85,10 +107,36 @@ class Page:
                 return True
             if key == "style" and "display:none" in value.replace(" ", "").lower():
                 return True
-            if key in ("class", "id") and not _ASIDE_WORDS.isdisjoint(p.lower() for p in _NAME_PART.findall(value)):
-                return True
+            if key in ("class", "id") and name not in _TEXT_BLOCKS:
+                found = _aside_words(value)
+                if inside and name == "section" and key == "id":
+                    found -= _TOPICS
+                if found and not self._holds_article(place, found):
+                    return True
         return False
 
+    def _holds_article(self, place: int, found: set[str]) -> bool:
+        """Whether an element with these words in its names is or holds an article or main element, or most words of the page.
+
+        Articles that are comments by their own names count only where the page has no other.
+        """
+        if self._totals is None:
+            marks, words = [], [0]
+            for i, (kind, value, attributes) in enumerate(self.tokens):
+                words.append(words[-1] + (len(value.split()) if kind == "text" else 0))
+                if kind == "open" and value in _MARKS:
+                    names = " ".join(v.strip("\"'") for k, v, _ in _ATTRIBUTE.findall(attributes) if k.lower() in ("class", "id"))
+                    marks.append((i, not _COMMENTS.isdisjoint(_aside_words(names))))
+            self._totals = marks, words
+        marks, words = self._totals
+        end = self.end.get(place, place)
+        within = [comment for i, comment in marks if place <= i <= end]
+        if within and (len(within) == len(marks) or not all(within)):
+            return True
+        if marks and not _COMMENTS.isdisjoint(found):
+            return False
+        return 2 * (words[end] - words[place]) > words[-1]
+
     def pieces(self):
         """(place, class, words or None) in page order, elements never in an article as one piece of class 'aside'."""
         place, around, ends = 0, [], 0

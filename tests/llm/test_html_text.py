@@ -50,3 +50,17 @@ def test_learned_weights_and_query_rows(spark):
         expected = f"Head {r['page_id'] or 0} {FILL} {r['page_id'] or 0} <" if (r["page_id"] or 0) < 30 else "" if r["page_id"] < 40 else " ".join([FILL] * 5000)
         assert (r["text"], r["n_chars"]) == (expected, len(expected))
     assert H.extracted(pages.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("body, expected", [
+    *[(f"<nav>Home</nav><div class='{name}'><article><p>{FILL}</p></article></div>", FILL) for name in ("site-content no-sidebar", "with-sidebar", "content widget", "social-science")],
+    *[(f"<p>Not this</p><{mark}><h1>T</h1><p>{FILL}</p></{mark.split()[0]}>", f"T {FILL}") for mark in ("article class='post has-comments'", "main id='comments'", "article class='social-science'")],
+    *[(f"<article><p>{FILL}</p><h2 id='{name}'>Head</h2><p id='{name}'>{FILL}</p></article>", f"{FILL} Head {FILL}") for name in ("related-work", "search", "notice", "share-price")],
+    *[(f"<article><p>{FILL}</p><section id='{name}'><h2>Head</h2><p>a b</p></section></article>", f"{FILL} Head a b") for name in ("related-work", "search", "notice", "share-price", "discussion")],
+    (f"<div class='page-widget'><p>{FILL}</p></div>", FILL),
+    (f"<article><p>{FILL} <math><mi>x</mi></math></p></article>", f"{FILL} x"),
+    (f"<main><article><p>{FILL}</p></article><div id='comments'><article class='comment-body'><p>{FILL} {FILL} {FILL}</p></article></div></main>", FILL),
+    (f"<article><p>{FILL}</p><div class='share-buttons'>x</div><div class='related-posts'>y</div><div class=ad>Buy</div></article>", FILL),
+])
+def test_names_that_do_not_remove_an_article(body, expected):
+    assert H.main_text(page(body), {}) == expected
