@@ -22,7 +22,3 @@ def rows(spark):
         return spark.createDataFrame(list(data), schema)
 
     return make
-
-
-def collected(df, *cols):
-    return sorted((tuple(r[c] for c in cols) if cols else tuple(r) for r in df.collect()), key=repr)

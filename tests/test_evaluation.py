@@ -4,7 +4,7 @@ import math
 import random
 
 import pytest
-from conftest import collected
+from result_rows import collected
 from pyspark.sql import functions as F
 
 from pastward.operators import aggregates, decisions, metrics, models, quality, ranking, scorelines, selection, slicing, splits

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conftest import collected
+from result_rows import collected
 from pyspark.sql import functions as F
 
 from pastward.operators import history, ranks

@@ -1,7 +1,7 @@
 """Guards of joins and lookups."""
 
 import pytest
-from conftest import collected
+from result_rows import collected
 
 from pastward.operators import joins, quality
 

@@ -4,7 +4,7 @@ import datetime as dt
 import random
 
 import pytest
-from conftest import collected
+from result_rows import collected
 
 from pastward.operators import pairs, ratings, standings
 from pastward.operators.match_features import upcoming_features

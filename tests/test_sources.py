@@ -4,7 +4,7 @@ import datetime as dt
 import json
 
 import pytest
-from conftest import collected
+from result_rows import collected
 from pyspark.sql import functions as F
 
 from pastward.sources import payloads, period_files, results

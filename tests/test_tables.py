@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from conftest import collected
+from result_rows import collected
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from pastward.operators import upsert
