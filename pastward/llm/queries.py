@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pastward.llm import html_text, lexical_search, line_dedup, mixing, near_dedup, packing, quality_rules, repeats, token_files, toxicity
+from pastward.llm import (
+    html_text, lexical_search, line_dedup, mixing, near_dedup, packing, prefix_trie, quality_model, quality_rules, repeats, token_files, toxicity, whitening,
+)
 from pastward.llm.shared import Scratch, table
 from pastward.llm.token_ids import vocabulary_path
 
@@ -99,3 +101,34 @@ SQL["op1_lexical_search"] = lexical_search.SQL
 def op9_repeats(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the bytes of 200-byte strings that start elsewhere, too."""
     return repeats.repeated_bytes(table(spark, folder, "documents"))
+
+
+@_query
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every usable vector, whitened, by component."""
+    vectors = table(spark, folder, "embeddings")
+    model = whitening.fit(vectors)
+    rows = whitening.whitened(vectors.select("vec_id", "embedding"), model)
+    shares = [v / model.trace if model.trace else 0.0 for v in model.variances] if model else []
+    rows = rows.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return rows.select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n if model else 0).cast("long").alias("n"), "deviation", "whitened",
+        F.element_at(F.array(*map(F.lit, shares)), F.col("at") + 1).alias("explained") if shares else F.lit(None).cast("double").alias("explained"),
+        F.lit(whitening.identity_error(whitening.whitened(vectors.select("embedding"), model), model)).cast("double").alias("identity_error"))
+
+
+@_query
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """The nodes of the prefix trie of all rebuilt conversations."""
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
+
+
+SQL["op12_prefix_trie"] = prefix_trie.SQL
+
+
+@_query
+def op13_quality_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document, learned from the labels of the rows that aren't held out."""
+    docs = table(spark, folder, "documents")
+    rows = quality_model.scored(docs.select("doc_id", "text", "n_chars"), quality_model.fit(docs, table(spark, folder, "labels")))
+    return rows.select("doc_id", quality_model.held_out().alias("held_out"), "score", (F.col("score") >= quality_model.THRESHOLD).cast("int").alias("predicted"))
