@@ -13,6 +13,11 @@ def _counted(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     return df.withColumn(name, F.count("*").over(Window.partitionBy(*keys)))
 
 
+def single(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose key no other row has; what a guarded join can take from a table with repeated keys."""
+    return _counted(df, keys, "_s").filter("_s = 1").drop("_s")
+
+
 def _guard(rows: DataFrame, keys: list[str], condition: Column, message: str) -> DataFrame:
     """Fails while rows are read that break the condition."""
     key = F.concat_ws(", ", *[F.concat(F.lit(f"{k}="), F.coalesce(F.col(k).cast("string"), F.lit("null"))) for k in keys])

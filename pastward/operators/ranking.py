@@ -83,11 +83,7 @@ def ranking_report(
         F.stddev_samp(t).alias("actual_std"), F.count("*").cast("double").alias("validation_rows"),
         F.countDistinct(player).cast("double").alias("validation_players"),
     )
-    rank = spearman(
-        df, target, prediction,
-        F.floor(t) if target_bucket is None else target_bucket,
-        F.floor(p * 4) if prediction_bucket is None else prediction_bucket,
-    )
+    rank = spearman(df, target, prediction, target_bucket, prediction_bucket)
     gains = ndcgs(df, period, target, prediction, ks).agg(*[F.avg(f"ndcg_at_{k}").alias(f"ndcg_at_{k}") for k in ks])
     captures = top_captures(df, period, target, prediction, row_id, ks).agg(*[F.avg(f"captured_{k}").alias(f"top{k}_points_captured") for k in ks])
     parts = [plain, moments, rank, gains, captures]

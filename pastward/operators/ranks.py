@@ -3,6 +3,9 @@
 A window over a whole group is one task. Here the group is first counted per bucket
 (a coarse function of the sort key), the counts are summed along the few buckets, and
 the fine order is worked out inside each bucket only.
+
+Buckets of values come from the data: a mergeable quantile sketch of the distinct values of each scope gives
+``BUCKETS - 1`` splitters, so that buckets hold about as many distinct values each, however the values lie.
 """
 
 from __future__ import annotations
@@ -11,6 +14,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+BUCKETS = 256
+_STEP = 16
+
+
+def _bounds(df: DataFrame, scope: list[str], value: str, buckets: int) -> DataFrame:
+    shares = [k / buckets for k in range(1, buckets)]
+    bounds = df.groupBy(*scope).agg(F.percentile_approx(value, shares, 8 * buckets).alias("_bounds"))
+    return bounds.withColumn("_coarse", F.filter("_bounds", lambda _, i: i % _STEP == _STEP - 1))
+
+
+def bucketed(df: DataFrame, scope: list[str], value: str, name: str = "_b", buckets: int = BUCKETS) -> DataFrame:
+    """Adds the bucket of each known value among the splitters of its scope; values should be combined, so that they repeat rarely.
+
+    The bucket is the number of splitters below the value: the coarse ones first, then those between two coarse ones.
+    """
+    known = df.filter(F.col(value).isNotNull())
+    bounds = _bounds(known, scope, value, buckets)
+    joined = _null_safe(known, bounds, scope) if scope else known.join(F.broadcast(bounds))  # one row
+    coarse = F.size(F.filter("_coarse", lambda x: x < F.col(value)))
+    fine = F.size(F.filter(F.slice("_bounds", F.col("_c") * _STEP + 1, F.lit(_STEP)), lambda x: x < F.col(value)))
+    return joined.withColumn("_c", coarse).withColumn(name, F.col("_c") * _STEP + fine).drop("_bounds", "_coarse", "_c")
+
+
 def _offsets(df: DataFrame, scope: list[str], bucket: str, weight) -> DataFrame:
     counts = df.groupBy(*scope, bucket).agg(F.sum(weight).alias("_n"))
     before = Window.partitionBy(*scope).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
@@ -45,14 +71,14 @@ def running_totals(df: DataFrame, scope: list[str], bucket: str, order: list[str
     return _null_safe(df, offsets, [*scope, bucket]).withColumn(name, F.col(f"{name}_before") + F.sum(value).over(inside))
 
 
-def value_ranks(df: DataFrame, scope: list[str], value: str, bucket) -> DataFrame:
+def value_ranks(df: DataFrame, scope: list[str], value: str, bucket=None) -> DataFrame:
     """Distinct values with their count and the ranks (1-based) of their first and last row.
 
-    Rows are combined per value before any shuffle. ``bucket`` is a column expression
-    that does not decrease with the value.
+    Rows are combined per value before any shuffle. Buckets are those of ``bucketed``, or a column
+    expression that does not decrease with the value.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*scope, F.col(value)).agg(F.count("*").alias("rows"))
-    counts = counts.withColumn("_b", bucket)
+    counts = bucketed(counts, scope, value) if bucket is None else counts.withColumn("_b", bucket)
     offsets = _offsets(counts, scope, "_b", F.col("rows"))
     inside = Window.partitionBy(*scope, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     ranked = _null_safe(counts, offsets, [*scope, "_b"]).withColumn(
@@ -61,7 +87,7 @@ def value_ranks(df: DataFrame, scope: list[str], value: str, bucket) -> DataFram
     return ranked.withColumn("first_rank", F.col("last_rank") - F.col("rows") + 1).drop("_b", "_before")
 
 
-def median(df: DataFrame, scope: list[str], value: str, bucket) -> DataFrame:
+def median(df: DataFrame, scope: list[str], value: str, bucket=None) -> DataFrame:
     """Exact median per scope: mean of the middle value or values."""
     ranked = value_ranks(df, scope, value, bucket)
     low, high = F.floor((F.col("scope_rows") + 1) / 2), F.ceil((F.col("scope_rows") + 1) / 2)
@@ -80,7 +106,7 @@ def average_rank(df: DataFrame, scope: list[str], value: str, bucket, name: str)
     )
 
 
-def spearman(df: DataFrame, left: str, right: str, left_bucket, right_bucket) -> DataFrame:
+def spearman(df: DataFrame, left: str, right: str, left_bucket=None, right_bucket=None) -> DataFrame:
     """Rank correlation with shared ranks for ties; 0 when a side is constant.
 
     Works on distinct value pairs with weights, so repeated values cost nothing.

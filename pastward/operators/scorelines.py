@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pastward.functions.scalars import clip, outcome
+from pastward.operators import fold_stats
 from pastward.operators.decisions import argmax_label
 from pastward.operators.ranks import median
 
@@ -41,10 +42,14 @@ def fit_parameters(train: DataFrame, by: list[str]) -> DataFrame:
     means = stacked.groupBy(*by).agg(*[
         F.avg(F.when(F.col("input").isin(*cols), F.col("value"))).alias(f"_{name}") for name, cols in _GROUPS.items()
     ])
-    medians = median(stacked, [*by, "input"], "value", F.floor(F.col("value") * 10)).groupBy(*by).agg(*[
+    medians = median(stacked, [*by, "input"], "value").groupBy(*by).agg(*[
         F.max(F.when(F.col("input") == c, F.col("median"))).alias(f"_med_{c}") for c in INPUTS
     ])
-    out = goals.join(means, by, "left").join(medians, by, "left")
+    return _with_fallbacks(goals.join(means, by, "left").join(medians, by, "left"), by)
+
+
+def _with_fallbacks(out: DataFrame, by: list[str]) -> DataFrame:
+    """Means of goals stand in for unknown means of inputs, and those for unknown medians."""
     both = (F.col("avg_home_goals") + F.col("avg_away_goals")) / 2
     out = out.withColumns({
         "avg_home_xg": F.coalesce("_avg_home_xg", "avg_home_goals"),
@@ -58,6 +63,24 @@ def fit_parameters(train: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def fit_walk_forward(rows: DataFrame, rank: str, min_train: int = 2) -> DataFrame:
+    """The parameters of every fold at once, each from all seasons before its validation season.
+
+    ``rank`` is the place of a row's season in time, from 1. Means are running sums of sums per season, medians come from merged
+    histograms per season; no row is copied for a fold.
+    """
+    sums = {"n": F.count("*"), "home_n": F.count("home_goals"), "away_n": F.count("away_goals"), "home": F.sum("home_goals"), "away": F.sum("away_goals")}
+    for name, cols in _GROUPS.items():
+        sums[f"{name}_sum"] = sum((F.coalesce(F.sum(c), F.lit(0.0)) for c in cols), F.lit(0.0))
+        sums[f"{name}_n"] = sum((F.count(c) for c in cols), F.lit(0))
+    total = fold_stats.running_sums(rows, rank, sums, min_train)
+    means = total.select(
+        "fold", F.try_divide("home", "home_n").alias("avg_home_goals"), F.try_divide("away", "away_n").alias("avg_away_goals"),
+        *[F.try_divide(f"{name}_sum", f"{name}_n").alias(f"_{name}") for name in _GROUPS])
+    medians = fold_stats.medians(rows, rank, list(INPUTS), min_train)
+    return _with_fallbacks(means.join(medians.withColumnsRenamed({f"median_{c}": f"_med_{c}" for c in INPUTS}), "fold", "left"), ["fold"])
+
+
 def with_lambdas(df: DataFrame, rating_gap: str) -> DataFrame:
     """Expected goals of both sides from filled inputs and the rating gap."""
 
@@ -113,12 +136,16 @@ def with_outcomes(df: DataFrame) -> DataFrame:
     }).drop("_h", "_d", "_a")
 
 
-def top_scorelines(n: int = 5) -> Column:
-    """The n likeliest scorelines of a row; ties go to the higher score pair."""
-    cells = F.flatten(F.transform("home_pmf", lambda h, i: F.transform(
+def _cells() -> Column:
+    """All scorelines of a row as (p, cell), so that of equal ones the higher score pair is the greater."""
+    return F.flatten(F.transform("home_pmf", lambda h, i: F.transform(
         "away_pmf", lambda a, j: F.struct(F.round(h * a, 9).alias("p"), (i * (MAX_GOALS + 1) + j).alias("cell"))
     )))
-    best = F.slice(F.sort_array(cells, asc=False), 1, n)
+
+
+def top_scorelines(n: int = 5) -> Column:
+    """The n likeliest scorelines of a row; ties go to the higher score pair."""
+    best = F.slice(F.sort_array(_cells(), asc=False), 1, n)
     return F.transform(best, lambda c: F.struct(
         F.floor(c["cell"] / (MAX_GOALS + 1)).cast("int").alias("home_score"),
         (c["cell"] % (MAX_GOALS + 1)).cast("int").alias("away_score"),
@@ -133,13 +160,13 @@ def predict(valid: DataFrame, parameters: DataFrame, by: list[str], rating_gap:
     """
     rows = valid.join(F.broadcast(parameters), by)
     out = with_outcomes(with_pmf(with_lambdas(rows, rating_gap)))
-    out = out.withColumn("top_scorelines", top_scorelines())
+    out = out.withColumns({"top_scorelines": top_scorelines(), "_best": F.array_max(_cells())["cell"]})
     return out.withColumns({
         "predicted_result": argmax_label(),
-        "predicted_home_goals": F.col("top_scorelines")[0]["home_score"],
-        "predicted_away_goals": F.col("top_scorelines")[0]["away_score"],
+        "predicted_home_goals": F.floor(F.col("_best") / (MAX_GOALS + 1)).cast("int"),
+        "predicted_away_goals": (F.col("_best") % (MAX_GOALS + 1)).cast("int"),
         "result": outcome("home_goals", "away_goals"),
-    })
+    }).drop("_best")
 
 
 def goal_scores(df: DataFrame, by: list[str]) -> DataFrame:
@@ -158,7 +185,7 @@ def goal_scores(df: DataFrame, by: list[str]) -> DataFrame:
 def draw_diagnostics(df: DataFrame, by: list[str]) -> DataFrame:
     """Level and spread of the draw probability."""
     p = F.col("p_draw")
-    middle = median(df, by, "p_draw", F.floor(p * 200)).withColumnRenamed("median", "median_draw_proba")
+    middle = median(df, by, "p_draw").withColumnRenamed("median", "median_draw_proba")
     return df.groupBy(*by).agg(
         F.avg(p).alias("mean_draw_proba"),
         F.max(p).alias("max_draw_proba"),

@@ -25,10 +25,13 @@ _KEY = ["season", "league", "match_date", "home_team", "away_team"]
 
 
 @query("D1", f"""
-WITH feed AS ({_FEED}) SELECT m.match_id, f.feed_id, m.season, m.league, m.match_date, m.home_team, m.away_team, m.home_goals, m.away_goals, f.home_xg, f.away_xg
-FROM matches m JOIN feed f USING (season, league, match_date, home_team, away_team)""")
+WITH feed AS (SELECT * FROM ({_FEED}) QUALIFY count(*) OVER (PARTITION BY season, league, match_date, home_team, away_team) = 1),
+results AS (SELECT * FROM matches QUALIFY count(*) OVER (PARTITION BY season, league, match_date, home_team, away_team) = 1)
+SELECT m.match_id, f.feed_id, m.season, m.league, m.match_date, m.home_team, m.away_team, m.home_goals, m.away_goals, f.home_xg, f.away_xg
+FROM results m JOIN feed f USING (season, league, match_date, home_team, away_team)""")
 def matches_with_feed(tables):
-    return joins.guarded_inner(tables.matches.select("match_id", *_KEY, "home_goals", "away_goals"), feed(tables), _KEY, complete=False)
+    results = joins.single(tables.matches.select("match_id", *_KEY, "home_goals", "away_goals"), _KEY)
+    return joins.guarded_inner(results, joins.single(feed(tables), _KEY), _KEY, complete=False)
 
 
 @query("D4 D6", f"""
@@ -106,7 +109,7 @@ def master_match_features(tables):
 
 # Predictions whose id is partly unknown: one in three must be matched by its natural key.
 _OPEN = """
-pred AS (SELECT match_id * 10 AS prediction_id, CASE WHEN home_goals <> 2 THEN match_id END AS match_id, season, match_date, home_team, away_team FROM matches WHERE season <= 1999),
+pred AS (SELECT match_id * 10 AS prediction_id, CASE WHEN home_goals <> 2 THEN match_id END AS match_id, season, match_date, home_team, away_team FROM matches),
 res AS (SELECT match_id, season, match_date, home_team, away_team, CASE WHEN home_goals > away_goals THEN 'H' WHEN home_goals < away_goals THEN 'A' ELSE 'D' END AS actual
  FROM matches WHERE season <= 1998)"""
 

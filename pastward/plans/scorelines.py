@@ -20,15 +20,19 @@ def folds(tables):
     rows = base.select(
         "match_id", "season", "match_date", "home_team", "away_team", "home_goals", "away_goals", *scorelines.INPUTS
     ).withColumn("gap", F.expr(_GAP))
-    # The base rows are stored once; folds are formed from them by season when they are read.
+    # The base rows are stored once; a fold is the number of seasons before a row's own, less one.
     development, _ = splits.development_split(materialize(rows), "season", "match_date")
-    rows = splits.walk_forward(development, "season", "match_date")
-    return rows.filter("role = 'train'").drop("role"), rows.filter("role = 'validation'").drop("role")
+    ranks = splits.ranked_seasons(development, "season", "match_date").select("season", "season_rank")
+    return development.join(ranks, "season")
+
+
+def validation(rows):
+    return rows.filter(F.col("season_rank") > 2).withColumn("fold", F.col("season_rank") - 2).drop("season_rank")
 
 
 def predictions(tables):
-    train, valid = folds(tables)
-    return scorelines.predict(valid, scorelines.fit_parameters(train, BY), BY, "gap")
+    rows = folds(tables)
+    return scorelines.predict(validation(rows), scorelines.fit_walk_forward(rows, "season_rank"), BY, "gap")
 
 
 def _pooled(cols):
@@ -50,7 +54,7 @@ par AS (SELECT fold, avg_home_goals, avg_away_goals, avg_home_xg, avg_away_xg, a
 WITH {PARAMS} SELECT fold, round(avg_home_goals, 6) AS avg_home_goals, round(avg_away_goals, 6) AS avg_away_goals, round(avg_home_xg, 6) AS avg_home_xg,
  round(avg_away_xg, 6) AS avg_away_xg, round(avg_xga, 6) AS avg_xga, {', '.join(f'round(median_{c}, 6) AS median_{c}' for c in scorelines.INPUTS)} FROM par""")
 def scoreline_parameters(tables):
-    return rounded(scorelines.fit_parameters(folds(tables)[0], BY))
+    return rounded(scorelines.fit_walk_forward(folds(tables), "season_rank"))
 
 
 def _base(cols):
@@ -69,8 +73,8 @@ grid AS (SELECT fold, match_id, CAST(i AS INT) AS home_score, CAST(j AS INT) AS
 
 @query("H2", f"WITH {LAMBDAS} SELECT fold, match_id, round(home_lambda, 6) AS home_lambda, round(away_lambda, 6) AS away_lambda FROM lam")
 def scoreline_rates(tables):
-    train, valid = folds(tables)
-    rows = valid.join(F.broadcast(scorelines.fit_parameters(train, BY)), BY)  # one row per fold
+    rows = folds(tables)
+    rows = validation(rows).join(F.broadcast(scorelines.fit_walk_forward(rows, "season_rank")), BY)  # one row per fold
     return rounded(scorelines.with_lambdas(rows, "gap").select("fold", "match_id", "home_lambda", "away_lambda"))
 
 

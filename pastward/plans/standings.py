@@ -10,13 +10,13 @@ from pastward.plans.registry import query
 TABLE_SQL = """
 WITH cur AS (SELECT DISTINCT league, season, match_date FROM team_rows),
 teams AS (SELECT DISTINCT league, season, team FROM team_rows),
-agg AS (SELECT c.league, c.season, c.match_date, t.team, count(p.match_id) AS games,
-  count(p.match_id) FILTER (p.goals_for > p.goals_against) AS w, count(p.match_id) FILTER (p.goals_for = p.goals_against) AS d,
-  count(p.match_id) FILTER (p.goals_for < p.goals_against) AS l,
-  coalesce(sum(p.goals_for), 0) AS gf, coalesce(sum(p.goals_against), 0) AS ga
+day AS (SELECT league, season, team, match_date, count(*) AS games, count(*) FILTER (goals_for > goals_against) AS w,
+  count(*) FILTER (goals_for = goals_against) AS d, count(*) FILTER (goals_for < goals_against) AS l, sum(goals_for) AS gf, sum(goals_against) AS ga
+ FROM team_rows GROUP BY league, season, team, match_date),
+agg AS (SELECT c.league, c.season, c.match_date, t.team, CAST(coalesce(sum(p.games) OVER before, 0) AS BIGINT) AS games, CAST(coalesce(sum(p.w) OVER before, 0) AS BIGINT) AS w, CAST(coalesce(sum(p.d) OVER before, 0) AS BIGINT) AS d, CAST(coalesce(sum(p.l) OVER before, 0) AS BIGINT) AS l, CAST(coalesce(sum(p.gf) OVER before, 0) AS BIGINT) AS gf, CAST(coalesce(sum(p.ga) OVER before, 0) AS BIGINT) AS ga
  FROM cur c JOIN teams t ON t.league = c.league AND t.season = c.season
- LEFT JOIN team_rows p ON p.league = t.league AND p.season = t.season AND p.team = t.team AND p.match_date < c.match_date
- GROUP BY c.league, c.season, c.match_date, t.team),
+ LEFT JOIN day p ON p.league = t.league AND p.season = t.season AND p.team = t.team AND p.match_date = c.match_date
+ WINDOW before AS (PARTITION BY t.league, t.season, t.team ORDER BY c.match_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 r AS (SELECT *, 3 * w + d AS pts, row_number() OVER (PARTITION BY league, season, match_date
   ORDER BY 3 * w + d DESC, gf - ga DESC, gf DESC, team) AS rk FROM agg),
 g AS (SELECT *, max(pts) FILTER (rk = 1) OVER d AS p1, max(pts) FILTER (rk = 4) OVER d AS p4,
