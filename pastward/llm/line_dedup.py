@@ -1,7 +1,8 @@
 """Near-duplicate lines by a deletion-neighbourhood join, in DataFrame operations only.
 
-A line of at least ``min_chars`` code points goes if an earlier line of the corpus, by (doc_id, line number), is at
-most one insertion, deletion or replacement of a code point away, equal lines included. Shorter lines stay.
+A line with a word goes if an earlier line of the corpus, by (doc_id, line number), is at most one insertion, deletion or
+replacement of a code point away, equal lines included. With ``min_chars`` lines of fewer code points are compared for equality only.
+An empty table gives an empty one; a line of any length is compared as a whole.
 
 Equal lines are found by hash. For the rest a line is cut into parts; one edit falls into one part, and then
 everything outside this part, the *frame*, is the same in both lines. Only lines that share a frame with another line
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from pastward.llm.shared import SPACES, Scratch, bit_filter
 
-MIN_CHARS = 20
+MIN_CHARS = 1
 #: A part holds about so many code points at most; two parts at least.
 PART_CHARS = 256
 _PLACE = "struct<doc_id:bigint,line_no:int,row_hash:bigint>"
@@ -67,7 +68,7 @@ def _variants(line: Column, length: Column, frame: Column) -> Column:
         def key(kind: int, *values: Column) -> Column:
             return F.struct(F.lit(kind).alias("kind"), F.xxhash64(F.lit(min(kind, 1)), frame["frame"], *values).alias("key"))
 
-        places = F.sequence(F.lit(1), size)
+        places = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
         if longer:
             return F.transform(places, lambda i: key(2, without(i)))
         whole = F.array(key(1, F.substring(line, start + 1, size)))
@@ -76,20 +77,20 @@ def _variants(line: Column, length: Column, frame: Column) -> Column:
     return F.when(frame["longer"] == 1, of(1)).otherwise(of(0))
 
 
-def _line_rows(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(doc_id, row_hash, line_no, line, size, a, b) of the lines that count; a, b: 128 bits of the line's hash."""
+def _line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, row_hash, line_no, line, size, a, b) of the lines with a word; a, b: 128 bits of the line's hash."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row_hash"), F.posexplode(F.split(text_col, "\n", -1)).alias("line_no", "line"))
-    rows = rows.withColumn("size", F.length("line")).filter((F.col("size") >= min_chars) & (F.translate("line", SPACES, "") != ""))
-    return rows.select("*", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
+    rows = rows.filter(F.btrim("line", F.lit(SPACES)) != "")
+    return rows.select("*", F.length("line").alias("size"), F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
 
 
-def _earliest_near(docs: DataFrame, lines: DataFrame, scratch: Scratch, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+def _earliest_near(docs: DataFrame, lines: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
     """(a, b, near): the place of the earliest other line within the bound, for lines that have one before them."""
     frames = lines.select("a", "b", "first", F.explode("frames").alias("f")).select("a", "b", "first", "f.*")
     shared = frames.groupBy("frame").agg(F.min("a").alias("low"), F.max("a").alias("high")).filter("low <> high").select("frame")
     chosen = frames.join(shared, "frame", "left_semi").groupBy("a", "b").agg(F.min("first").alias("first"), F.collect_set(F.struct("longer", "part", "frame")).alias("frames"))
     chosen = scratch.keep(chosen, "chosen")
-    texts = bit_filter(chosen.select("a"), _line_rows(docs, id_col, text_col, min_chars).select("a", "b", "line"), "a")
+    texts = bit_filter(chosen.select("a"), _line_rows(docs, id_col, text_col).select("a", "b", "line"), "a")
     texts = texts.groupBy("a", "b").agg(F.first("line").alias("line"))
     chosen = scratch.keep(chosen.join(texts, ["a", "b"]), "texts")
 
@@ -111,11 +112,12 @@ def _earliest_near(docs: DataFrame, lines: DataFrame, scratch: Scratch, id_col:
 def removed_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, row_hash, removed): line numbers to remove, from 0; rows without any are absent."""
     occurrence = F.struct("doc_id", "line_no", "row_hash").cast(_PLACE)
-    lines = _line_rows(docs, id_col, text_col, min_chars)
-    lines = scratch.keep(lines.select("a", "b", occurrence.alias("place"), _frames(F.col("line"), F.col("size")).alias("frames")), "lines")
+    lines = _line_rows(docs, id_col, text_col)
+    frames = F.when(F.col("size") >= min_chars, _frames(F.col("line"), F.col("size"))).alias("frames")
+    lines = scratch.keep(lines.select("a", "b", occurrence.alias("place"), frames), "lines")
     classes = lines.groupBy("a", "b").agg(F.min("place").alias("first"), F.count("*").alias("copies"))
     classes = scratch.keep(classes, "classes")
-    near = _earliest_near(docs, lines.withColumnRenamed("place", "first"), scratch, id_col, text_col, min_chars)
+    near = _earliest_near(docs, lines.withColumnRenamed("place", "first"), scratch, id_col, text_col)
     limits = classes.join(near, ["a", "b"], "left").filter("copies > 1 OR near IS NOT NULL").select("a", "b", F.least("first", F.coalesce("near", "first")).alias("limit"))
     gone = lines.select("a", "b", "place").join(limits, ["a", "b"]).filter(F.col("place") > F.col("limit"))
     return gone.groupBy("place.doc_id", "place.row_hash").agg(F.collect_set("place.line_no").alias("removed"))
@@ -143,18 +145,24 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return rows.select(*out, "n_lines", "n_removed")
 
 
+#: One edit in code points; ``levenshtein`` counts bytes there.
+_ONE_EDIT = """y.n BETWEEN x.n - 1 AND x.n + 1 AND y.first < x.first AND levenshtein(x.line, y.line) BETWEEN 1 AND 4 AND len(list_filter(range(greatest(x.n, y.n)), lambda i:
+  CASE WHEN x.n = y.n THEN left(x.line, i) || substr(x.line, i + 2) = left(y.line, i) || substr(y.line, i + 2)
+  WHEN x.n > y.n THEN left(x.line, i) || substr(x.line, i + 2) = y.line ELSE left(y.line, i) || substr(y.line, i + 2) = x.line END)) > 0"""
 #: The same result for DuckDB, over the view ``documents`` (ids not null and distinct).
 SQL = f"""
 WITH lines AS (
  SELECT doc_id, generate_subscripts(parts, 1) - 1 AS line_no, unnest(parts) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)),
-long AS (SELECT * FROM lines WHERE length(line) >= {MIN_CHARS} AND translate(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') <> ''),
-classes AS (SELECT line, length(line) AS n, min((doc_id, line_no)) AS first FROM long GROUP BY line),
+long AS (SELECT * FROM lines WHERE translate(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') <> ''),
+classes AS MATERIALIZED (SELECT line, length(line) AS n, min((doc_id, line_no)) AS first FROM long GROUP BY line),
 pairs AS (
- SELECT x.line, y.first FROM classes x JOIN classes y ON left(x.line, 9) = left(y.line, 9) AND y.n BETWEEN x.n - 1 AND x.n + 1 AND y.first < x.first AND levenshtein(x.line, y.line) = 1
+ SELECT x.line, y.first FROM classes x JOIN classes y ON left(x.line, 9) = left(y.line, 9) AND {_ONE_EDIT}
  UNION ALL
- SELECT x.line, y.first FROM classes x JOIN classes y ON right(x.line, 9) = right(y.line, 9) AND y.n BETWEEN x.n - 1 AND x.n + 1 AND y.first < x.first AND levenshtein(x.line, y.line) = 1),
+ SELECT x.line, y.first FROM classes x JOIN classes y ON right(x.line, 9) = right(y.line, 9) AND {_ONE_EDIT}
+ UNION ALL
+ SELECT x.line, y.first FROM (SELECT * FROM classes WHERE n <= 20) x JOIN (SELECT * FROM classes WHERE n <= 20) y ON {_ONE_EDIT}),
 limits AS (SELECT line, min(first) AS place FROM (SELECT line, first FROM classes UNION ALL SELECT line, first FROM pairs) GROUP BY line),
-judged AS (SELECT l.doc_id, l.line_no, l.line, coalesce((l.doc_id, l.line_no) > m.place AND length(l.line) >= {MIN_CHARS}, false) AS gone FROM lines l LEFT JOIN limits m ON l.line = m.line)
+judged AS (SELECT l.doc_id, l.line_no, l.line, coalesce((l.doc_id, l.line_no) > m.place, false) AS gone FROM lines l LEFT JOIN limits m ON l.line = m.line)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
  coalesce(md5(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT gone)), md5('')) AS kept_md5
 FROM judged GROUP BY doc_id
