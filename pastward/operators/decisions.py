@@ -159,15 +159,16 @@ def class_shares(df: DataFrame, actual: str, by: list[str] = ()) -> DataFrame:
     ])
 
 
-def calibration_candidates(df: DataFrame, actual: str) -> DataFrame:
-    """Log loss and Brier score of every (temperature, blend)."""
+def calibration_candidates(df: DataFrame, actual: str, by: list[str] = ()) -> DataFrame:
+    """Log loss and Brier score of every (temperature, blend), per group."""
     prior = [F.col(f"prior_{n}") for n in ("home", "draw", "away")]
-    shares = class_shares(df, actual)  # one row
-    rows = df.select(actual, *[p.alias(n) for p, n in zip(normalized(), PROBS)]).join(F.broadcast(shares))
+    shares = F.broadcast(class_shares(df, actual, by))  # one row, or one per group: a fold, a season
+    rows = df.select(*by, actual, *[p.alias(n) for p, n in zip(normalized(), PROBS)])
+    rows = rows.join(shares, list(by)) if by else rows.join(shares)
     # The temperature part is worked out once per (row, temperature), the blends follow from it.
     rows = rows.select("*", _grid({"temperature": TEMPERATURES}).alias("g")).select("*", "g.temperature").drop("g")
     rows = rows.select(
-        actual, "temperature",
+        *by, actual, "temperature",
         *[f"prior_{n}" for n in ("home", "draw", "away")],
         *[p.alias(n) for p, n in zip(tempered(F.col("temperature")), PROBS)],
     )
@@ -178,16 +179,20 @@ def calibration_candidates(df: DataFrame, actual: str) -> DataFrame:
         ((p - (F.col(actual) == label).cast("double")) * (p - (F.col(actual) == label).cast("double")) for p, label in zip(final, LABELS)),
         F.lit(0.0),
     )
-    return rows.groupBy("temperature", "alpha").agg(
+    return rows.groupBy(*by, "temperature", "alpha").agg(
         F.avg(-F.log(F.greatest(hit, F.lit(1e-15)))).alias("log_loss"), F.avg(square).alias("brier_score")
     )
 
 
-def select_calibration(df: DataFrame, actual: str) -> DataFrame:
-    """Best (temperature, blend): log loss, Brier score, nearness to 1, smaller blend."""
-    key = F.struct("log_loss", "brier_score", F.abs(F.col("temperature") - 1.0), "alpha")
-    best = calibration_candidates(df, actual)
-    return best.agg(F.min_by(F.struct(*best.columns), key).alias("b")).select("b.*")
+def select_calibration(df: DataFrame, actual: str, by: list[str] = ()) -> DataFrame:
+    """Best (temperature, blend) per group: log loss, Brier score, nearness to 1, smaller blend.
+
+    Losses count as equal when they agree to twelve places, so that the order of additions decides nothing.
+    """
+    key = F.struct(F.round("log_loss", 12), F.round("brier_score", 12), F.abs(F.col("temperature") - 1.0), "alpha")
+    best = calibration_candidates(df, actual, by)
+    rest = [c for c in best.columns if c not in by]
+    return best.groupBy(*by).agg(F.min_by(F.struct(*rest), key).alias("b")).select(*by, "b.*")
 
 
 def prediction_rows(df: DataFrame, threshold: float, dominant: float = DOMINANT) -> DataFrame:

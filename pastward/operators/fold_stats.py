@@ -14,17 +14,26 @@ from pastward.operators.ranks import bucketed
 from pastward.sources.tables import materialize
 
 
+def _folds(first: Column, last: Column) -> Column:
+    """The folds that train on a season: none if it is the last one."""
+    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+
+def _per_fold(seasons: DataFrame, rank: str, min_train: int) -> DataFrame:
+    """Sums of single seasons, a row for each fold that trains on them; ``_last`` is the last season's rank."""
+    first = F.greatest(F.col(rank) - (min_train - 1), F.lit(1)).cast("int")
+    return seasons.withColumn("fold", F.explode(_folds(first, (F.col("_last") - min_train).cast("int"))))
+
+
 def running_sums(rows: DataFrame, rank: str, sums: dict[str, Column], min_train: int = 2, by: tuple = ()) -> DataFrame:
     """(fold, *by, sums) over the seasons a fold trains on; folds end before the last season.
 
-    ``sums`` are additive aggregates (sum, count). The window runs over one row per season (and ``by``).
+    ``sums`` are additive aggregates (sum, count). Rows are added up per season (and ``by``) first; only these few sums are handed to
+    every later fold.
     """
     last = rows.agg(F.max(rank).alias("_last"))  # one row
-    seasons = rows.groupBy(*by, rank).agg(*[c.alias(n) for n, c in sums.items()])
-    so_far = Window.partitionBy(*by).orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)
-    running = seasons.select(rank, *by, *[F.sum(n).over(so_far).alias(n) for n in sums]).join(F.broadcast(last))
-    fold = (F.col(rank) - (min_train - 1)).cast("int").alias("fold")
-    return running.filter((F.col(rank) >= min_train) & (F.col(rank) < F.col("_last"))).select(fold, *by, *sums)
+    seasons = rows.groupBy(*by, rank).agg(*[c.alias(n) for n, c in sums.items()]).join(F.broadcast(last))
+    return _per_fold(seasons, rank, min_train).groupBy("fold", *by).agg(*[F.sum(n).alias(n) for n in sums])
 
 
 def season_histogram(rows: DataFrame, rank: str, inputs: list[str]) -> DataFrame:
@@ -34,11 +43,6 @@ def season_histogram(rows: DataFrame, rank: str, inputs: list[str]) -> DataFrame
     return known.groupBy("input", "value", F.col(rank).alias("rank")).agg(F.count("*").alias("rows"))
 
 
-def _folds(first: Column, last: Column, min_train: int) -> Column:
-    """The folds that train on a season: none if it is the last one."""
-    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-
-
 def histogram_medians(histogram: DataFrame, min_train: int = 2, last_rank: DataFrame | None = None) -> DataFrame:
     """(fold, input, median), exact: the mean of the middle value or values of all training rows of a fold.
 
@@ -47,10 +51,8 @@ def histogram_medians(histogram: DataFrame, min_train: int = 2, last_rank: DataF
     """
     last = histogram.agg(F.max("rank").alias("_last")) if last_rank is None else last_rank
     marked = bucketed(histogram, ["input"], "value", "bucket").join(F.broadcast(last))  # one row
-    first = F.greatest(F.col("rank") - (min_train - 1), F.lit(1)).cast("int")
-    to = (F.col("_last") - min_train).cast("int")
     coarse = marked.groupBy("input", "bucket", "rank", "_last").agg(F.sum("rows").alias("rows"))
-    coarse = coarse.withColumn("fold", F.explode(_folds(first, to, min_train))).groupBy("fold", "input", "bucket").agg(F.sum("rows").alias("rows"))
+    coarse = _per_fold(coarse, "rank", min_train).groupBy("fold", "input", "bucket").agg(F.sum("rows").alias("rows"))
     along = Window.partitionBy("fold", "input").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy("fold", "input")
     coarse = coarse.select("*", F.coalesce(F.sum("rows").over(along), F.lit(0)).alias("before"), F.sum("rows").over(everything).alias("total"))
