@@ -39,9 +39,11 @@ _VALUE = {f"x_{c}": f"coalesce({c}, 0)" for c in POINTS} | {f"m_{c}": f"CAST({c}
 
 @query("K13 K3", _ROWS + ", g AS (SELECT fold, " + ", ".join(
     f"CAST(sum({_VALUE[a]} * {_VALUE[b]}) AS DOUBLE) AS {a}__{b}" for a, b in gram.gram_names(POINTS)) + " FROM t GROUP BY fold) " + " UNION ALL ".join(
-    f"SELECT fold, '{a}' AS \"left\", '{b}' AS \"right\", round({a}__{b}, 6) + 0.0 AS total FROM g" for a, b in gram.gram_names(POINTS)))
+    f"SELECT fold, '{a}' AS \"left\", '{b}' AS \"right\", round({a}__{b} / one__one, 4) + 0.0 AS mean FROM g" for a, b in gram.gram_names(POINTS)))
 def fold_gram_entries(tables):
-    return rounded(gram.gram_entries(gram.fold_grams(player_points(tables), "period_rank", POINTS, "target", MIN_TRAIN), POINTS))
+    grams = gram.fold_grams(player_points(tables), "period_rank", POINTS, "target", MIN_TRAIN)
+    rows = gram.gram_entries(grams, POINTS).join(F.broadcast(grams.select("fold", "one__one")), "fold")  # one row per fold
+    return rounded(rows.select("fold", "left", "right", (F.col("total") / F.col("one__one")).alias("mean")), 4)
 
 
 @query("K13 K3 E15", _ROWS + " SELECT fold, " + ", ".join(f"round(median({c}), 6) AS median_{c}" for c in POINTS) + " FROM t GROUP BY fold")
