@@ -120,9 +120,10 @@ def schedule(
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **parameters) -> DataFrame:
-    """The rows of ``docs``, each as often as the schedule has it, with the columns of ``docs`` only."""
+    """The rows of ``docs``, each as often as the schedule has it and in its order of blocks and places, with the columns of ``docs`` only."""
     plan = schedule(docs, id_col=id_col, text_col=text_col, source_col=source_col, **parameters)
-    plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source")).agg(F.count("*").cast("int").alias("_times"))
+    plan = plan.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source"), F.col("block").alias("_block"), F.col("place").alias("_place"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("_own_id"), F.xxhash64(F.col(text_col)).alias("_own_hash"), F.col(source_col).alias("_own_source"))
     same = F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash")) & F.col("_own_source").eqNullSafe(F.col("_source"))
-    return rows.join(plan, same).withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
+    rows = rows.join(plan, same).select("_row", "_block", "_place")
+    return rows.repartitionByRange("_block", "_place").sortWithinPartitions("_block", "_place").select("_row.*")

@@ -79,26 +79,27 @@ def _set_key(shingles) -> bytes:
 
 
 def shingled(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, set_key, signature) of every row; key and signature are null for an empty set or a null id."""
+    """(doc_id, n_shingles, text_hash, set_key, signature) of every row; key and signature are null for an empty set or a null id."""
     import pyarrow as pa
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("signature", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("text_hash", pa.int64()), ("set_key", pa.binary()), ("signature", pa.binary())])
 
     def run(batches):
-        shingler, out = _shingler(words), [[] for _ in range(4)]
-        for doc_id, text in rows_of(batches):
+        shingler, out = _shingler(words), [[] for _ in range(5)]
+        for doc_id, text, text_hash in rows_of(batches):
             found = shingler(text)
-            row = (doc_id, len(found), None, None)
+            row = (doc_id, len(found), text_hash, None, None)
             if len(found) and doc_id is not None:
-                row = (doc_id, len(found), _set_key(found), shingler.signature(found))
+                row = (doc_id, len(found), text_hash, _set_key(found), shingler.signature(found))
             for column, value in zip(out, row):
                 column.append(value)
             if len(out[0]) == 2048:
                 yield out_batch(schema, out)
-                out = [[] for _ in range(4)]
+                out = [[] for _ in range(5)]
         yield out_batch(schema, out)
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, signature binary")
+    rows = docs.select(F.col(id_col).cast("long"), text_col, F.xxhash64(F.col(text_col)))
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, text_hash long, set_key binary, signature binary")
 
 
 def neighbours(classes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -274,9 +275,10 @@ def confirmed(docs: DataFrame, groups: DataFrame, words: int, percent: int, scra
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (least id of its component), kept (whether it is that one).
+    """Per row: doc_id, text_hash, n_shingles, component_id (least id of its component), kept (whether it is that one).
 
-    Null and empty texts, and texts without words, have an empty set and stay alone, as do rows with a null id. Rows
+    Rows that share an id but not a text are told apart by ``text_hash`` (xxhash64 of the text). An empty table gives an empty one; a text of
+    any length is compared as a whole. Null and empty texts, and texts without words, have an empty set and stay alone, as do rows with a null id. Rows
     that repeat an id count as one document for ``kept``. Extra columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "near_dedup")
@@ -292,9 +294,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     rooted = classes.select("set_key", "doc_id").join(links, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     linked = scratch.keep(rooted.join(least, "root").select("set_key", "component_id"), "linked")
-    out = rows.select("doc_id", "n_shingles", "set_key").join(linked, "set_key", "left")
+    out = rows.select("doc_id", "text_hash", "n_shingles", "set_key").join(linked, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 #: The result with three words and 85 percent for DuckDB, over the view ``documents``.

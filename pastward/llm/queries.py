@@ -61,7 +61,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op3_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose sets of three-word shingles are alike to 85 percent."""
-    return near_dedup.near_duplicates(table(spark, folder, "documents"), words=3, percent=85)
+    return near_dedup.near_duplicates(table(spark, folder, "documents"), words=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 SQL["op3_near_dedup"] = near_dedup.SQL
