@@ -407,20 +407,20 @@ tot AS (SELECT season, player_source_id, count(DISTINCT nullif(trim(team_name),
 summ AS (SELECT tot.*, a.player_name, b.team_name, c.position FROM tot LEFT JOIN {_mode('player_name')} a USING (season, player_source_id)
  LEFT JOIN {_mode('team_name')} b USING (season, player_source_id) LEFT JOIN {_mode('position')} c USING (season, player_source_id))"""
 JOINED = SUMMARY + f""",
-j AS (SELECT s.*, m.code, m.name_raw, m.position_raw, CASE WHEN m.code IS NOT NULL THEN 'id_exact' ELSE 'unmatched' END AS mapping_method,
- CASE WHEN m.code IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS confidence_score, CASE WHEN s.season NOT IN (SELECT season FROM master) THEN 'no_master_for_season' WHEN m.code IS NULL THEN 'unmatched_source_id' END AS join_reason,
+j AS (SELECT s.*, m.code, m.name_raw, m.position_raw, CASE WHEN m.code IS NOT NULL THEN 'element_id_exact' ELSE 'unmatched' END AS mapping_method,
+ CASE WHEN m.code IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS confidence_score, CASE WHEN s.season NOT IN (SELECT season FROM master) THEN 'no_players_raw_csv_for_season' WHEN m.code IS NULL THEN 'unmatched_player_source_id' END AS join_reason,
  {_NORM.format(c='s.player_name')} AS normalized_name, {_NORM.format(c='m.name_raw')} AS norm_raw FROM summ s LEFT JOIN master m ON m.season = s.season AND m.element_id = s.player_source_id),
 nn AS (SELECT code, count(DISTINCT normalized_name) AS names FROM j WHERE code IS NOT NULL GROUP BY code),
 sc AS (SELECT season, code, count(*) AS same_code, count(DISTINCT normalized_name) AS season_names, count(DISTINCT team_name) AS teams FROM j WHERE code IS NOT NULL GROUP BY season, code),
 ss AS (SELECT season, player_source_id, count(*) AS same_source FROM j GROUP BY season, player_source_id),
-fl AS (SELECT j.*, concat_ws('; ', join_reason, CASE WHEN same_source > 1 THEN 'duplicate_season_source_id' END, CASE WHEN same_code > 1 THEN 'duplicate_season_code' END,
- CASE WHEN names > 1 THEN 'code_multiple_names' END, CASE WHEN season_names > 1 THEN 'code_multiple_players_one_season' END,
+fl AS (SELECT j.*, concat_ws('; ', join_reason, CASE WHEN same_source > 1 THEN 'duplicate_season_player_source_id' END, CASE WHEN same_code > 1 THEN 'duplicate_season_fpl_code' END,
+ CASE WHEN names > 1 THEN 'fpl_code_multiple_names' END, CASE WHEN season_names > 1 THEN 'fpl_code_multiple_players_one_season' END,
  CASE WHEN j.code IS NOT NULL AND normalized_name <> '' AND norm_raw <> '' AND normalized_name <> norm_raw THEN 'conflicting_player_name' END,
  CASE WHEN j.code IS NOT NULL AND upper(trim(position)) <> '' AND upper(trim(position_raw)) <> '' AND upper(trim(position)) <> upper(trim(position_raw)) THEN 'conflicting_position' END,
  CASE WHEN distinct_team_names > 1 THEN 'conflicting_team_mappings' END, CASE WHEN distinct_positions > 1 THEN 'conflicting_position_mappings' END,
  CASE WHEN teams > 1 THEN 'same_season_team_overlap' END) AS reason
  FROM j LEFT JOIN nn ON nn.code = j.code LEFT JOIN sc ON sc.season = j.season AND sc.code = j.code JOIN ss ON ss.season = j.season AND ss.player_source_id = j.player_source_id),
-idmap AS (SELECT CASE WHEN mapping_method = 'id_exact' THEN CAST(code AS VARCHAR) END AS canonical_key, code, season, player_source_id, player_name,
+idmap AS (SELECT CASE WHEN mapping_method = 'element_id_exact' THEN CAST(code AS VARCHAR) END AS canonical_key, code, season, player_source_id, player_name,
  CASE WHEN normalized_name = '' THEN 'unknown' ELSE normalized_name END AS normalized_name, team_name, position, first_gameweek, last_gameweek, row_count, minutes_total, points_total,
  mapping_method, confidence_score, reason <> '' AS needs_manual_review, nullif(reason, '') AS review_reason FROM fl)"""
 
