@@ -1,13 +1,14 @@
 """Writers, table changes and the stream ingest."""
 
 import json
+import random
 
 import pytest
 from result_rows import collected
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from pastward.operators import upsert
-from pastward.sources import sinks, tables
+from pastward.sources import sinks, tables, versions
 from pastward.streaming import ingest
 
 
@@ -102,4 +103,45 @@ def test_arrivals_fold_into_state(spark, tmp_path, mode, expected):
 
     arrive("1.json", (1, 1, "a"), (2, 1, "b"))
     arrive("2.json", (1, 2, "c"), (3, 2, "d"))
-    assert collected(ingest.current_state(spark, state, SCHEMA), "k", "v") == expected
+    assert collected(ingest.current_state(spark, state, SCHEMA, ["k"], mode), "k", "v") == expected
+
+
+def _batches(seed=5):
+    draw = random.Random(seed)
+    return [[(draw.choice([None, *range(12)]), t, f"{n}-{t}") for t in draw.sample(range(50), 15)] for n in range(7)]
+
+
+@pytest.mark.parametrize("mode", ["upsert", "insert"])
+def test_state_of_base_and_deltas(spark, rows, tmp_path, mode):
+    """Every state equals a loop over the batches, with compactions and the removal of what they stand for in between."""
+    state, held = str(tmp_path / "state"), {}
+    for number, batch in enumerate(_batches()):
+        assert ingest.write_batch(rows("k int, t int, v string", *batch), number, state, ["k"], ["t"], mode)
+        assert ingest.compact(spark, state, SCHEMA, ["k"], mode, after=3) == (number in (2, 5))
+        for k, t, v in sorted(batch, key=lambda r: r[1]):
+            if mode == "upsert" or k not in held:
+                held[k] = (k, t, v)
+        if number == 3:
+            ingest.clean(spark, state)
+        assert collected(ingest.current_state(spark, state, SCHEMA, ["k"], mode)) == sorted(held.values(), key=repr)
+    assert versions.committed(spark, state, "base") == [2, 5] and versions.committed(spark, state, "delta") == [3, 4, 5, 6]
+    parts = [collected(ingest.current_state(spark, state, SCHEMA, ["k"], mode, buckets=[b])) for b in range(ingest.BUCKETS)]
+    assert sorted((r for p in parts for r in p), key=repr) == sorted(held.values(), key=repr)
+    assert "PartitionFilters: [isnotnull" in ingest.current_state(spark, state, SCHEMA, ["k"], mode, buckets=[1])._jdf.queryExecution().toString()
+
+
+def test_batch_that_dies_before_its_marker(spark, rows, tmp_path, monkeypatch):
+    state = str(tmp_path / "state")
+    ingest.write_batch(rows("k int, t int, v string", (1, 1, "a")), 0, state, ["k"], ["t"])
+    lost = rows("k int, t int, v string", (1, 2, "b"), (2, 2, "c"))
+    with monkeypatch.context() as patched:
+        patched.setattr(versions, "mark", lambda *args: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(RuntimeError, match="killed"):
+            ingest.write_batch(lost, 1, state, ["k"], ["t"])
+    assert (tmp_path / "state" / "delta=1").is_dir()
+    assert collected(ingest.current_state(spark, state, SCHEMA, ["k"]), "k", "v") == [(1, "a")]
+    assert ingest.write_batch(lost, 1, state, ["k"], ["t"])
+    assert not ingest.write_batch(rows("k int, t int, v string", (9, 9, "z")), 1, state, ["k"], ["t"])
+    assert collected(ingest.current_state(spark, state, SCHEMA, ["k"]), "k", "v") == [(1, "b"), (2, "c")]
+    assert collected(ingest.current_state(spark, state, SCHEMA, ["k"], before=1), "k", "v") == [(1, "a")]
+    assert ingest.current_state(spark, str(tmp_path / "none"), SCHEMA, ["k"]).count() == 0
