@@ -1,11 +1,14 @@
 """League tables, pressure and ratings."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pastward.operators import match_features, ratings, standings
 from pastward.plans.common import LEAGUE, SEASON, rounded
 from pastward.plans.history import _STATE_SQL
 from pastward.plans.registry import query
+from pastward.session import ensure_checkpoint_dir
 
 TABLE_SQL = """
 WITH cur AS (SELECT DISTINCT league, season, match_date FROM team_rows),
@@ -181,6 +184,35 @@ def elo_current(tables):
     return rounded(ratings.current_ratings(ratings.elo(tables.matches), LEAGUE), 4)
 
 
+def _in_two_steps(matches):
+    """Ratings of the later half of all seasons, by appending them to the stored state of the earlier half; and where that state is."""
+    path = f"{ensure_checkpoint_dir(matches.sparkSession).rstrip('/')}/ratings/{uuid.uuid4().hex}"
+    half = matches.agg(F.floor((F.min("season") + F.max("season")) / 2).alias("half"))  # one row
+    split = matches.join(F.broadcast(half))
+    ratings.replay_seasons(split.filter("season <= half").drop("half"), path)
+    return ratings.replay_seasons(split.filter("season > half").drop("half"), path), path
+
+
+_HALF = " WHERE season > (SELECT (min(season) + max(season)) // 2 FROM division)"
+
+
+@query("G2 G3", elo_cte("division", "rows_g", DIVISION_ROWS) + _ELO_SELECT + _HALF)
+def elo_of_appended_seasons(tables):
+    return rounded(_in_two_steps(tables.division)[0], 4)
+
+
+@query("G4", elo_cte("division", "rows_g", DIVISION_ROWS) + """,
+sides AS (SELECT league, season, season_index, match_id, match_date, event_time, team, rating FROM (
+  SELECT *, home_team AS team, home_elo_after AS rating FROM elo_full UNION ALL SELECT *, away_team, away_elo_after FROM elo_full) JOIN order_ USING (league, season))
+SELECT league, team, round(rating, 4) AS rating, season, CAST(season_index AS INT) AS season_index, match_id, match_date, event_time,
+ CAST(max(season_index) OVER (PARTITION BY league) AS INT) AS league_seasons,
+ (SELECT max(s) FROM (SELECT o.league, min(d.event_time) AS s FROM division d JOIN order_ o USING (league, season) GROUP BY o.league, season) b WHERE b.league = sides.league) AS league_start
+FROM sides QUALIFY row_number() OVER (PARTITION BY league, team ORDER BY season_index DESC, event_time DESC, match_id DESC) = 1""")
+def stored_rating_state(tables):
+    spark = tables.division.sparkSession
+    return rounded(ratings.load_state(spark, _in_two_steps(tables.division)[1]), 4)
+
+
 @query("I1 E23 E12", elo_cte() + CURRENT_CTE + """
 SELECT league, team, round(rating, 4) AS rating FROM current_elo ORDER BY rating DESC, league, team LIMIT 10""")
 def top_rated_teams(tables):
