@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from pastward.plans.registry import query
 from pastward.session import ensure_checkpoint_dir
-from pastward.sources import payloads, results, sinks
+from pastward.sources import payloads, period_files, results, sinks
 
 
 def _text(c):
-    return F.col(c).cast("string")
+    return (F.col(c) if isinstance(c, str) else c).cast("string")
 
 
 @query("A2 A3 A13", """
@@ -154,3 +154,54 @@ def repeated_runs(tables):
     for run, league in ((1, 0), (2, 2), (1, 1), (2, 2)):
         sinks.append_run(rows.filter(F.col("league") == league).select("match_id"), path, run)
     return tables.spark.read.parquet(path).select("match_id", F.col("run_id").cast("int").alias("run_id"))
+
+
+_SEASON = "season || '-' || lpad(CAST((CAST(season AS INT) + 1) % 100 AS VARCHAR), 2, '0')"
+
+
+@query("A4 A5", f"""
+SELECT {_SEASON} AS season, gameweek, CASE WHEN trim(player_source_id) <> '' THEN player_source_id END AS player_source_id,
+ CASE WHEN CAST(season AS INT) % 2 = 0 THEN player_name || ', "Jr"' ELSE 'P ' || player_name END AS player_name, CASE WHEN trim(team_name) <> '' THEN team_name END AS team_name, minutes, total_points,
+ {_SEASON} || '/gws/' || row_id % 50 || '/gw' || gameweek || '.csv' AS source_file FROM history""")
+def period_file_rows(tables):
+    """Files of two layouts, with quoted commas and unreadable numbers, written as text from the history rows and read back."""
+    even = F.col("season").cast("int") % 2 == 0
+    empty = lambda c: F.coalesce(_text(c), F.lit(""))
+    quoted = F.concat(F.lit('"'), F.col("player_name"), F.lit(', ""Jr"""'))
+    first = F.concat_ws(",", F.lit(""), empty("player_source_id"), quoted, empty("team_name"), empty("minutes"), F.coalesce(_text("total_points"), F.lit("n/a")), F.lit("x"))
+    second = F.concat_ws(",", empty("total_points"), F.lit("P"), "player_name", empty("team_name"), F.coalesce(_text("minutes"), F.lit("-")), empty("player_source_id"))
+    header = F.when(even, ",Element,Name,Team,Minutes,Total Points,Unknown").otherwise("total_points,first_name,second_name,team_name,minutes,id")
+    season = F.concat("season", F.lit("-"), F.lpad(((F.col("season").cast("int") + 1) % 100).cast("string"), 2, "0"))
+    path = F.concat(F.lit("/"), season, F.lit("/gws/"), _text(F.col("row_id") % 50), F.lit("/gw"), _text("gameweek"), F.lit(".csv"))
+    lines = tables.history.select(path.alias("path"), header.alias("header"), F.when(even, first).otherwise(second).alias("line"))
+    # A file is one of fifty parts of a season and period.
+    files = lines.groupBy("path", "header").agg(F.array_join(F.collect_list("line"), "\r\n").alias("lines")).select("path", F.concat("header", F.lit("\r\n"), "lines").alias("value"))
+    return period_files.parsed_files(files).select("season", "gameweek", "player_source_id", "player_name", "team_name", "minutes", "total_points", "source_file")
+
+
+@query("A14", """
+WITH t AS (SELECT CASE WHEN match_id % 17 = 0 THEN '' ELSE 'T' || home_team END AS team_name, CASE WHEN match_id % 19 = 0 OR match_id % 31 = 0 THEN '' ELSE 'M' || match_id % 7 END AS manager_name,
+ CASE WHEN match_id % 31 <> 0 AND match_id % 23 <> 0 THEN match_date END AS start_date, match_id % 23 = 0 AS bad,
+ CASE WHEN match_id % 31 <> 0 AND match_id % 3 <> 0 THEN match_date + CASE WHEN match_id % 29 = 0 THEN -10 ELSE CAST(match_id % 300 AS INT) END END AS end_date,
+ CASE WHEN match_id % 31 <> 0 THEN 'n' || match_id ELSE '' END AS source_note FROM matches WHERE match_id % 31 <> 0),
+v AS (SELECT *, concat_ws('; ', CASE WHEN team_name = '' THEN 'missing team' END, CASE WHEN manager_name = '' THEN 'missing manager' END, CASE WHEN bad THEN 'bad start date' END,
+ CASE WHEN start_date > end_date THEN 'ends before it starts' END) AS validation_error FROM t)
+SELECT team_name, manager_name, CASE WHEN bad THEN 'soon' ELSE CAST(start_date AS VARCHAR) END AS start_date, coalesce(CAST(end_date AS VARCHAR), CASE WHEN validation_error <> '' THEN '' END) AS end_date,
+ source_note, nullif(validation_error, '') AS validation_error FROM v""")
+def tenure_rows(tables):
+    key, filled = F.col("match_id"), F.col("match_id") % 31 != 0
+    end = F.date_add("match_date", F.when(key % 29 == 0, -10).otherwise(key % 300).cast("int"))
+    raw = tables.matches.select(
+        F.when(key % 17 == 0, " ").otherwise(F.concat(F.lit(" T"), _text("home_team"))).alias("team_name"), F.when(filled & (key % 19 != 0), F.concat(F.lit("M"), _text(key % 7))).alias("manager_name"),
+        F.when(filled, F.when(key % 23 == 0, "soon").otherwise(_text("match_date"))).alias("start_date"), F.when(filled & (key % 3 != 0), _text(end)).alias("end_date"),
+        F.when(filled, F.concat(F.lit("n"), _text(key))).alias("source_note"))
+    good, bad = results.parse_tenures(raw)
+    return good.withColumns({"start_date": _text("start_date"), "end_date": _text("end_date"), "validation_error": F.lit(None).cast("string")}).unionByName(bad)
+
+
+@query("L19", """
+SELECT 'rows' AS check_name, count(*) AS bad_rows FROM matches UNION ALL SELECT 'missing_kickoff_time', count(*) FILTER (kickoff_time IS NULL) FROM matches
+UNION ALL SELECT 'missing_team', count(*) FILTER (match_id % 43 = 0) FROM matches UNION ALL SELECT 'unmapped_team', count(*) FILTER (match_id % 43 = 0 OR match_id % 47 = 0) FROM matches""")
+def snapshot_findings(tables):
+    team = F.when(F.col("match_id") % 43 != 0, F.when(F.col("match_id") % 47 == 0, "  ").otherwise(F.concat(F.lit("T"), _text("home_team"))))
+    return results.validate_snapshot(tables.matches.select("match_id", "kickoff_time", team.alias("team")), ["kickoff_time", "team"], ["team"])

@@ -85,7 +85,10 @@ def per_position_scores(tables):
 def style_clusters(tables):
     rows = style_form(tables).filter(F.col("style_matches_last5") >= 5)
     rows = materialize(rows.select("match_id", "league", "team", *models.STYLE_INPUTS))
-    model = models.fit_clusters(rows, list(models.STYLE_INPUTS))
+    # Clusters are those of the development seasons; the rows of the holdout are assigned to them.
+    dated = rows.join(tables.matches.select("match_id", "season", "match_date"), "match_id")
+    development, _ = splits.development_split(dated, "season", "match_date")
+    model = models.fit_clusters(development, list(models.STYLE_INPUTS))
     clustered = models.assign_clusters(model, rows).withColumn("silhouette", F.lit(models.silhouette(model, rows)))
     return clustered.join(models.cluster_labels(clustered), "style_cluster").select("match_id", "league", "team", "style_cluster", "style_label", "silhouette")
 

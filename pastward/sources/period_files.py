@@ -79,12 +79,20 @@ def read_period_files(spark: SparkSession, root: str) -> DataFrame:
     """All files <season>/…/gw<period>.csv below a folder, as canonical rows.
 
     Every file is read once, whole: one season and period is a few hundred lines. Each line is taken apart by its own
-    file's header, so any number of layouts is one plan and nothing reaches the driver. A path without a season
-    fails while it is read.
+    file's header, so any number of layouts is one plan and nothing reaches the driver.
     """
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "[gG][wW]*.csv")
-    files = reader.text(root, wholetext=True).select(records(F.regexp_replace("value", "^\ufeff", "")).alias("lines"), F.col("_metadata.file_path").alias("path"))
-    files = files.filter(F.assert_true(F.col("path").rlike(r"/\d{4}-\d{2}/"), F.concat(F.lit("no season in the path "), F.col("path"))).isNull())
+    return parsed_files(reader.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
+def parsed_files(files: DataFrame) -> DataFrame:
+    """Canonical rows of files given as (path, value), value being all of a file's text.
+
+    A path without a season, or without a period from 1 on, fails while it is read.
+    """
+    files = files.select(records(F.regexp_replace("value", "^\ufeff", "")).alias("lines"), "path")
+    for pattern, what in ((r"/\d{4}-\d{2}/", "season"), (r"(?i)/gw0*[1-9]\d*\.csv$", "period")):
+        files = files.filter(F.assert_true(F.col("path").rlike(pattern), F.concat(F.lit(f"no {what} in the path "), F.col("path"))).isNull())
     body = F.filter(F.slice("lines", F.lit(2), F.size("lines")), lambda line: F.trim(line) != "")
     lines = files.select("path", canonical_names(fields(F.get("lines", F.lit(0)))).alias("header"), F.explode(body).alias("line"))
     rows = lines.select("path", "header", fields(F.col("line")).alias("values"))

@@ -89,9 +89,13 @@ def validate_snapshot(df: DataFrame, required: list[str], team_columns: list[str
 
 
 def read_tenures(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
-    """Tenures from CSV: (usable rows, rejected rows with the reason). Blank template rows are in neither."""
+    """Tenures from CSV: (usable rows, rejected rows with the reason)."""
+    return parse_tenures(spark.read.option("header", True).csv(path))
+
+
+def parse_tenures(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tenures from text columns: (usable rows, rejected rows with the reason). Blank template rows are in neither."""
     columns = ["team_name", "manager_name", "start_date", "end_date", "source_note"]
-    raw = spark.read.option("header", True).csv(path)
     require_columns(raw, columns)
     text = raw.select(*[F.coalesce(F.trim(c), F.lit("")).alias(c) for c in columns])
     filled = text.filter(F.concat("manager_name", "start_date", "end_date", "source_note") != "")
