@@ -36,8 +36,8 @@ CHUNK_BYTES = 1 << 18
 CHUNK_SUFFIXES = 30_000
 _NULL_ID = -(1 << 63)
 _FULL, _PARTNER, _OPEN = 0, 1, 2
-_ANCHORS = "core long, reach long, doc_id long, text_hash int, pos int"
-_MARKS = "doc_id long, text_hash int, pos int, kind byte, core long"
+_ANCHORS = "core long, reach long, doc_id long, text_hash long, pos int"
+_MARKS = "doc_id long, text_hash long, pos int, kind byte, core long"
 
 
 class _Hashes:
@@ -113,14 +113,14 @@ def _anchor_rows(length: int, window: int):
         import numpy as np
         import pyarrow as pa
 
-        schema = pa.schema([("core", pa.int64()), ("reach", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int32()), ("pos", pa.int32())])
+        schema = pa.schema([("core", pa.int64()), ("reach", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("pos", pa.int32())])
         hashes, held, size = _Hashes(), [], 0
 
         def close():
             ids, texts, codes = zip(*held)
             text, pos, core, reach = find_anchors(hashes, list(texts), length, window)
             return pa.RecordBatch.from_arrays([
-                pa.array(core), pa.array(reach), pa.array(np.array(ids, np.int64)[text]), pa.array(np.array(codes, np.int32)[text]), pa.array(pos.astype(np.int32)),
+                pa.array(core), pa.array(reach), pa.array(np.array(ids, np.int64)[text]), pa.array(np.array(codes, np.int64)[text]), pa.array(pos.astype(np.int32)),
             ], schema=schema)
 
         for doc_id, data, code in rows_of(batches, 64):
@@ -140,7 +140,7 @@ def _classify(batches):
     import numpy as np
     import pyarrow as pa
 
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int32()), ("pos", pa.int32()), ("kind", pa.int8()), ("core", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("pos", pa.int32()), ("kind", pa.int8()), ("core", pa.int64())])
 
     def judged(columns, first: int, last: int):
         core, reach, doc, code, pos = columns
@@ -177,7 +177,7 @@ def _surroundings(length: int, window: int):
         import pyarrow as pa
         import zstandard
 
-        schema = pa.schema([("core", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int32()), ("pos", pa.int32()), ("open", pa.bool_()), ("left", pa.binary()), ("right", pa.binary())])
+        schema = pa.schema([("core", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("pos", pa.int32()), ("open", pa.bool_()), ("left", pa.binary()), ("right", pa.binary())])
         unpack, core_size = zstandard.ZstdDecompressor().decompress, length - window + 1
         for doc_id, code, data, marks in rows_of(batches, 64):
             data = unpack(data)
@@ -251,7 +251,7 @@ def _resolve(length: int, window: int):
         import pyarrow as pa
 
         depth = window - 1
-        schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("code", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("code", pa.binary())])
 
         def close(rows, part):
             cores, docs, codes, places, opens, left, right = (list(c) for c in zip(*rows))
@@ -303,14 +303,14 @@ def _squeezed(rows: DataFrame) -> DataFrame:
         import pyarrow as pa
         import zstandard
 
-        schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int32()), ("data", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("data", pa.binary())])
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 ids, codes, data = batch.slice(at, 512).columns
                 yield pa.RecordBatch.from_arrays([ids, codes, pa.array([pack(d) for d in data.to_pylist()], pa.binary())], schema=schema)
 
-    return rows.mapInArrow(run, "doc_id long, text_hash int, data binary")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, data binary")
 
 
 def repeated_bytes(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, contents: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -322,7 +322,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     if not 2 <= window <= length - GRAM:
         raise ValueError("window has to leave room for a core")
     scratch = Scratch(docs.sparkSession, "repeats")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.hash(text_col).alias("text_hash"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
     anchors = rows.select("doc_id", "data", "text_hash").mapInArrow(_anchor_rows(length, window), _ANCHORS)
     marks = scratch.keep(anchors.repartition("core").sortWithinPartitions("core", "reach").mapInArrow(_classify, _MARKS), "marks")
 
@@ -330,8 +330,8 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     wanted = scratch.keep(wanted, "wanted")
     once = _squeezed(bit_filter(wanted.select("doc_id"), rows, "doc_id")).dropDuplicates(["doc_id", "text_hash"])
     around = once.join(wanted, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "data", "marks").mapInArrow(
-        _surroundings(length, window), "core long, doc_id long, text_hash int, pos int, open boolean, left binary, right binary")
-    found = around.repartition("core").sortWithinPartitions("core", "right").mapInArrow(_resolve(length, window), "doc_id long, text_hash int, start int, end int, code binary")
+        _surroundings(length, window), "core long, doc_id long, text_hash long, pos int, open boolean, left binary, right binary")
+    found = around.repartition("core").sortWithinPartitions("core", "right").mapInArrow(_resolve(length, window), "doc_id long, text_hash long, start int, end int, code binary")
     found = scratch.keep(found, "found")
     parts = found.filter("code IS NOT NULL")
     across = parts.filter("start IS NOT NULL").join(parts.groupBy("code").count().filter("count > 1").select("code"), "code", "left_semi")
