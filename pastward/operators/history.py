@@ -52,6 +52,26 @@ def prior_strict(
     return carried(df, entity, time, tiebreak, cols, n)
 
 
+def carried_by_kind(
+    df: DataFrame, entity: list[str], block: str, kind: str, order: list[str], cols: list[str], n: int, n_kind: int, kinds: int = 3
+) -> DataFrame:
+    """Per (entity, block, kind), from earlier blocks and newest first: the last n rows of the entity as ``history``, its last ``n_kind`` of this kind as ``kind_history``.
+
+    Two frames from one scan: rows shrink to tails per (entity, block, kind), and both windows run over these tails
+    in one partitioning by entity. ``kinds`` bounds the kinds in a block, null being one; that many rows more are looked back for, because
+    those of the block itself do not count, and the oldest block may be cut between its kinds.
+    """
+    per_block = tails(df, [*entity, block, kind], [block, *order], cols, max(n, n_kind))
+    newest = [F.col(block).desc(), F.col(kind).desc()]
+    overall = Window.partitionBy(*entity).orderBy(*newest).rowsBetween(1, n + 2 * (kinds - 1))
+    own = Window.partitionBy(*entity, kind).orderBy(F.col(block).desc()).rowsBetween(1, n_kind)
+    seen = per_block.withColumns({"_all": F.flatten(F.collect_list("tail").over(overall)), "_own": F.flatten(F.collect_list("tail").over(own))})
+    earlier = F.filter("_all", lambda row: row[block] < F.col(block))
+    return seen.select(
+        *entity, block, kind, F.slice(F.sort_array(earlier, asc=False), 1, n).alias("history"), F.slice("_own", 1, n_kind).alias("kind_history")
+    )
+
+
 def history_count(n: int, history: str = "history") -> Column:
     return F.least(F.size(history), F.lit(n))
 
@@ -100,9 +120,24 @@ def prior_rows(
     )
 
 
-def latest_n(df: DataFrame, entity: list[str], order: list[str], cols: list[str], n: int) -> DataFrame:
-    """Per entity ``history``: its last n rows up to now."""
-    return tails(df, entity, order, cols, n, name="history")
+def prior_rows_by_kind(
+    df: DataFrame, entity: list[str], block: str, kind: str, order: list[str], n: int, features: dict[str, Column], kind_features: dict[str, Column], kinds: int = 3
+) -> DataFrame:
+    """As ``prior_rows``, with ``kind_features`` over the n rows before that are of the row's own kind.
+
+    The order (block, *order) must be total. The copies in front of a block are the last n rows of the entity and of each kind
+    in the block; older rows of a kind never come between the last n of all, so both frames read the same copies.
+    """
+    cols = [c for c in df.columns if c not in {*entity, block, *order}]
+    both = carried_by_kind(df, entity, block, kind, order, cols, n, n, kinds)
+    needed = F.array_distinct(F.flatten(F.collect_list(F.array_union("history", "kind_history"))))
+    copies = both.groupBy(*entity, block).agg(F.sort_array(needed, asc=False).alias("rows"))
+    copies = copies.select(*entity, block, F.posexplode("rows").alias("_at", "row"))
+    copies = copies.select(*entity, block, *[F.col(f"row.{c}") for c in (*order, *cols)], (-F.col("_at") - 1).alias("_lead"))
+    frame = Window.partitionBy(*entity, block).orderBy("_lead", *order).rowsBetween(-n, -1)
+    own = Window.partitionBy(*entity, block, kind).orderBy("_lead", *order).rowsBetween(-n, -1)
+    windowed = {name: a.over(frame) for name, a in features.items()} | {name: a.over(own) for name, a in kind_features.items()}
+    return df.withColumn("_lead", F.lit(0)).unionByName(copies).withColumns(windowed).filter(F.col("_lead") == 0).drop("_lead")
 
 
 def latest_by(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:

@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pastward.functions.scalars import outcome, points_for
-from pastward.operators.history import history_count, history_mean, latest_n, prior_strict
+from pastward.operators.history import carried_by_kind, history_count, history_mean, prior_strict, tails
 
-_OVERALL = ["points", "goal_diff", "xg_for", "xg_against"]
-_VENUE = ["goals_for", "goals_against", "clean_sheet", "xg_for", "xg_against"]
+_VALUES = ["points", "goal_diff", "goals_for", "goals_against", "clean_sheet", "xg_for", "xg_against"]
 
 
 def _with_values(rows: DataFrame) -> DataFrame:
@@ -33,15 +32,15 @@ def overall_features() -> dict:
     }
 
 
-def venue_features(side: str) -> dict:
+def venue_features(side: str, history: str = "kind_history") -> dict:
     """Form over the matches of a team at one venue, last 5."""
     return {
-        f"{side}_matches_last5": history_count(5),
-        f"goals_scored_{side}_last5": history_mean("goals_for", 5),
-        f"goals_conceded_{side}_last5": history_mean("goals_against", 5),
-        f"clean_sheet_rate_{side}_last5": history_mean("clean_sheet", 5),
-        f"xg_{side}_last5": history_mean("xg_for", 5),
-        f"xga_{side}_last5": history_mean("xg_against", 5),
+        f"{side}_matches_last5": history_count(5, history),
+        f"goals_scored_{side}_last5": history_mean("goals_for", 5, history),
+        f"goals_conceded_{side}_last5": history_mean("goals_against", 5, history),
+        f"clean_sheet_rate_{side}_last5": history_mean("clean_sheet", 5, history),
+        f"xg_{side}_last5": history_mean("xg_for", 5, history),
+        f"xga_{side}_last5": history_mean("xg_against", 5, history),
     }
 
 
@@ -52,20 +51,11 @@ def _prefixed(df: DataFrame, keys: dict[str, str], prefix: str) -> DataFrame:
 def base_match_features(matches: DataFrame, rows: DataFrame, league: list[str], time: str = "event_time") -> DataFrame:
     """One row per match: targets, six history counts and twenty form means.
 
-    Histories are built once per (team, time), which is far fewer rows than matches
-    at scale, and joined to the matches by equality.
+    Histories are built once per (team, time, venue), far fewer rows than matches at scale, with the
+    last 10 overall and the last 5 at the venue from one pass, and joined to the matches by equality.
     """
     team = [*league, "team"]
-    rows = _with_values(rows)
-    overall = prior_strict(rows, team, time, ["match_id"], _OVERALL, 10).select(
-        *team, time, *[v.alias(k) for k, v in overall_features().items()]
-    )
-
-    def at_venue(venue: str, side: str) -> DataFrame:
-        return prior_strict(rows.filter(F.col("venue") == venue), team, time, ["match_id"], _VENUE, 5).select(
-            *team, time, *[v.alias(k) for k, v in venue_features(side).items()]
-        )
-
+    past = carried_by_kind(_with_values(rows), team, time, "venue", ["match_id"], _VALUES, 10, 5)
     result = outcome("home_goals", "away_goals")
     keep = dict.fromkeys(["match_id", *league, "season", "match_date", time, "home_team", "away_team"])
     out = matches.select(
@@ -79,22 +69,25 @@ def base_match_features(matches: DataFrame, rows: DataFrame, league: list[str],
     )
     for side, venue in (("home", "H"), ("away", "A")):
         keys = {"team": f"{side}_team", time: time} | {c: c for c in league}
-        on = [*league, f"{side}_team", time]
-        out = out.join(_prefixed(overall, keys, side), on, "left")
-        out = out.join(_prefixed(at_venue(venue, side), keys, side), on, "left")
+        form = past.filter(F.col("venue") == venue).select(
+            *team, time, *[v.alias(k) for k, v in (overall_features() | venue_features(side)).items()]
+        )
+        out = out.join(_prefixed(form, keys, side), [*league, f"{side}_team", time], "left")
     return out
 
 
 def latest_team_state(rows: DataFrame, league: list[str], time: str = "event_time") -> DataFrame:
     """Form of every team up to now: last 5 at home, last 5 away, last 5 and 10 overall."""
-    team, order = [*league, "team"], [time, "match_id"]
-    rows = _with_values(rows)
-    state = latest_n(rows, team, order, _OVERALL, 10).select(*team, *[v.alias(k) for k, v in overall_features().items()])
-    for venue, side in (("H", "home"), ("A", "away")):
-        part = latest_n(rows.filter(F.col("venue") == venue), team, order, _VENUE, 5)
-        part = part.select(*team, *[v.alias(f"{side}_{k}") for k, v in venue_features(side).items()])
-        state = state.join(part, team, "left")
-    return state.fillna(0, subset=["home_home_matches_last5", "away_away_matches_last5"])
+    team, sides = [*league, "team"], {"home": "H", "away": "A"}
+    latest = tails(_with_values(rows), [*team, "venue"], [time, "match_id"], _VALUES, 10)
+    frames = {f"_{side}": F.slice(F.flatten(F.collect_list(F.when(F.col("venue") == venue, F.col("tail")))), 1, 5) for side, venue in sides.items()}
+    frames["history"] = F.slice(F.sort_array(F.flatten(F.collect_list("tail")), asc=False), 1, 10)
+    state = latest.groupBy(*team).agg(*[v.alias(k) for k, v in frames.items()])
+    return state.select(
+        *team,
+        *[v.alias(k) for k, v in overall_features().items()],
+        *[v.alias(f"{side}_{k}") for side in sides for k, v in venue_features(side, f"_{side}").items()],
+    )
 
 
 def mature_style_features(matches: DataFrame, rows: DataFrame, league: list[str], time: str = "event_time") -> DataFrame:

@@ -26,6 +26,18 @@ def _form(tables, side, other):
     return out.withColumns({c: half_up(c, 2) for c in features}).drop("_clean")
 
 
+FORM_COLUMNS = ["form_scored", "form_conceded", "clean_sheet_rate", "xg_last5", "xga_last5"]
+
+
+def team_form(tables):
+    """Both frames of every team row from one pass: goals over the last 5 at its venue, xg over the last 5 anywhere."""
+    rows = tables.team_rows.select("match_id", "league", "match_date", "team", "venue", "goals_for", "goals_against", "xg_for", "xg_against")
+    anywhere = {"xg_last5": F.avg("xg_for"), "xga_last5": F.avg("xg_against")}
+    at_venue = {"form_scored": F.avg("goals_for"), "form_conceded": F.avg("goals_against"), "clean_sheet_rate": F.avg(_clean("goals_against"))}
+    out = history.prior_rows_by_kind(rows, ["league", "team"], "match_date", "venue", ["match_id"], 5, anywhere, at_venue)
+    return out.select("match_id", "league", "match_date", "team", "venue", *[half_up(c, 2).alias(c) for c in FORM_COLUMNS])
+
+
 _FORM_SQL = """
 SELECT match_id, league, match_date, {s}_team, {s}_goals, {o}_goals,
  CAST(round(CAST(avg({s}_goals) OVER w AS DECIMAL(38,10)), 2) AS DOUBLE) AS {s}_form_scored,

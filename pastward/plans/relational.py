@@ -6,7 +6,7 @@ from pastward.functions.scalars import outcome, ratio
 from pastward.operators import aggregates, joins, quality
 from pastward.operators.reshape import metric_rows, team_rows
 from pastward.plans.common import rounded
-from pastward.plans.history import _FORM_SQL, _XG_SQL, away_form, away_xg_form, home_form, home_xg_form
+from pastward.plans.history import _FORM_SQL, _XG_SQL, FORM_COLUMNS, team_form
 from pastward.plans.registry import query
 
 # ---- joins ---------------------------------------------------------------------------
@@ -96,10 +96,10 @@ def master_match_features(tables):
     out = tables.matches.select(
         "match_id", "league", "home_team", "away_team", "home_goals", "away_goals", outcome("home_goals", "away_goals").alias("result")
     )
-    for part in (home_form, away_form, home_xg_form, away_xg_form):
-        block = part(tables)
-        drop = {"league", "match_date", "home_team", "away_team", "home_goals", "away_goals"}
-        out = out.join(block.drop(*[c for c in block.columns if c in drop]), "match_id", "left")
+    form = team_form(tables)
+    for side, venue in (("home", "H"), ("away", "A")):
+        part = form.filter(F.col("venue") == venue).select("match_id", *[F.col(c).alias(f"{side}_{c}") for c in FORM_COLUMNS])
+        out = out.join(part, "match_id", "left")
     for side in ("home", "away"):
         out = out.join(names.withColumnsRenamed({"k": f"{side}_team", "n_name": f"{side}_name"}), f"{side}_team", "left")
     pairs = aggregates.ordered_pair_summary(tables.matches, ["league"]).drop("home_wins", "away_wins", "draws")

@@ -51,6 +51,42 @@ def test_prior_rows_sees_ties_in_order(spark, seed, n):
     assert collected(got, "e", "t", "id", "v", "c", "s") == sorted(expected, key=repr)
 
 
+def with_kinds(seed):
+    rng = random.Random(seed)
+    return [(*r, rng.choice(["H", "H", "H", "A", None] if r[0] == "a" else ["H", "A"])) for r in events(seed)]
+
+
+@pytest.mark.parametrize("seed", [6, 7, 8])
+def test_both_frames_of_earlier_blocks(spark, seed):
+    data = with_kinds(seed)
+    df = spark.createDataFrame(data, "e string, t int, id int, v double, kind string")
+    got = history.carried_by_kind(df, ["e"], "t", "kind", ["id"], ["v"], 6, 3).select(
+        "e", "t", "kind", F.col("history.id").alias("ids"), F.col("kind_history.id").alias("own"))
+    expected = []
+    for e, t, kind in {(r[0], r[1], r[4]) for r in data}:
+        past = sorted((r[1], r[2], r[4]) for r in data if r[0] == e and r[1] < t)[::-1]
+        expected.append((e, t, kind, [r[1] for r in past[:6]], [r[1] for r in past if r[2] == kind][:3]))
+    assert collected(got) == sorted(expected, key=repr)
+
+
+@pytest.mark.parametrize("seed", [9, 10])
+@pytest.mark.parametrize("n", [1, 5])
+def test_both_frames_of_rows_see_ties_in_order(spark, seed, n):
+    data = with_kinds(seed)
+    df = spark.createDataFrame(data, "e string, t int, id int, v double, kind string")
+    got = history.prior_rows_by_kind(
+        df, ["e"], "t", "kind", ["id"], n, {"c": F.count("*"), "s": F.sum("v")}, {"kc": F.count("*"), "ks": F.sum("v")})
+    expected = []
+    for e, t, i, v, kind in data:
+        past = sorted((r[1], r[2], r[3], r[4]) for r in data if r[0] == e and (r[1], r[2]) < (t, i))
+        found = []
+        for frame in (past[-n:], [r for r in past if r[3] == kind][-n:]):
+            known = [r[2] for r in frame if r[2] is not None]
+            found += [len(frame), sum(known) if known else None]
+        expected.append((e, t, i, v, kind, *found))
+    assert collected(got, "e", "t", "id", "v", "kind", "c", "s", "kc", "ks") == sorted(expected, key=repr)
+
+
 def test_latest_by_takes_null_order_as_smallest(rows):
     df = rows("k int, o int, v string", (1, None, "a"), (1, 3, "b"), (2, None, "c"))
     assert collected(history.latest_by(df, ["k"], ["o"]), "k", "v") == [(1, "b"), (2, "c")]
