@@ -74,7 +74,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def _training_rows(docs: DataFrame, labels: DataFrame, sample: int, positive: int) -> tuple[DataFrame, float]:
-    """Sampled (doc_id, label, text) and the share of label 1 among all usable labels."""
+    """Sampled (doc_id, label, text), one row per id, and the share of label 1 among all usable labels."""
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).filter("doc_id IS NOT NULL AND label IN (0, 1)").filter(~held_out())
     usable = usable.groupBy("doc_id").agg(F.max("label").alias("label"))
     counts = usable.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("p")).head()
@@ -82,13 +82,15 @@ def _training_rows(docs: DataFrame, labels: DataFrame, sample: int, positive: in
     ones = usable.filter("label = 1").orderBy(order, "doc_id").limit(positive)
     zeros = usable.filter("label = 0").orderBy(order, "doc_id").limit(sample - positive)
     chosen = ones.unionByName(zeros)  # at most ``sample`` rows of two numbers: the broadcast side
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), counts["p"] / counts["n"] if counts["n"] else 0.0
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return rows, counts["p"] / counts["n"] if counts["n"] else 0.0
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, positive: int = POSITIVE) -> Model:
     """Learn from ``labels`` (doc_id, toxic) of rows that aren't held out.
 
-    Null texts count as empty, null labels are skipped, several labels of one id count as their largest. With no
+    Null texts count as empty, null labels are skipped, several labels of one id count as their largest. Of several texts of
+    one id the smallest is learned from, so that the fit sees at most ``sample`` texts however often an id repeats. With no
     labels of one of the two kinds every score is the share of label 1.
     """
     import math

@@ -40,6 +40,57 @@ def test_grams_are_distinct_buckets():
     assert len(grams("ab")) == len(grams(None)) == 0 and grams("ABC").tolist() == grams("abc").tolist()
 
 
+def test_an_id_that_repeats_is_learned_from_once(spark, docs):
+    rows, labels = corpus(120)
+    label = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    more = [(3, "zz later text")] * 500
+    chosen, _ = T._training_rows(docs(*rows, *more), label, T.SAMPLE, T.POSITIVE)
+    found = {r["doc_id"]: r["text"] for r in chosen.collect()}
+    assert chosen.count() == len(found) == sum(zlib.crc32(str(k).encode()) % 4 != 2 for k, _ in rows)
+    assert T.fit(docs(*rows, *more), label) == T.fit(docs(*rows), label)
+
+
+def test_ratios_and_optimum_against_brute_force(spark, docs):
+    import numpy as np
+
+    rows, labels = corpus(150, seed=4)
+    label = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = T.fit(docs(*rows), label)
+    truth, grams = {k: t for k, _, t in labels}, T.Grams()
+    sets = [(truth[k], set(grams(text).tolist())) for k, text in rows if zlib.crc32(str(k).encode()) % 4 != 2]
+    ones = [found for t, found in sets if t]
+    zeros = [found for t, found in sets if not t]
+    ratio = {}
+    for bucket in set().union(*ones, *zeros):
+        p, q = sum(bucket in found for found in ones), sum(bucket in found for found in zeros)
+        if p + q >= 4:
+            r = np.log((p + T.SMOOTHING) / (len(ones) + T.SMOOTHING)) - np.log((q + T.SMOOTHING) / (len(zeros) + T.SMOOTHING))
+            ratio[bucket] = (r, abs(r) * np.sqrt(p + q))
+    best = sorted(ratio, key=lambda b: (-ratio[b][1], b))[: T.FEATURES]
+    learned = np.frombuffer(model.weights, np.float32)
+    assert set(np.flatnonzero(learned).tolist()) <= set(best)
+    at = {b: i for i, b in enumerate(best)}
+    values = np.zeros((len(sets), len(best)))
+    for i, (_, found) in enumerate(sets):
+        for b in found & at.keys():
+            values[i, at[b]] = ratio[b][0]
+    y = np.array([t for t, _ in sets], float)
+    ratios = np.array([ratio[b][0] for b in best])
+    weight = np.divide(learned[best].astype(float), ratios, out=np.zeros(len(best)), where=ratios != 0)
+    share = y.mean()
+    bias = model.intercept + np.log(len(ones) / len(zeros)) - np.log(share / (1 - share))
+
+    def loss(w, b):
+        z = values @ w + b
+        return np.mean(np.logaddexp(0, z) - y * z) + T.RIDGE * (w @ w) / (2 * len(y))
+
+    least = loss(weight, bias)
+    draw = np.random.default_rng(1)
+    assert all(loss(weight + step * d, bias) > least - 1e-4 for step in (0.01, 0.1) for d in draw.normal(size=(20, len(best))))
+    slope = values.T @ (1 / (1 + np.exp(-(values @ weight + bias))) - y) / len(y) + T.RIDGE * weight / len(y)
+    assert np.abs(slope).max() < 1e-2
+
+
 def test_special_rows(spark, docs, clashing):
     rows, labels = corpus(200)
     label = spark.createDataFrame([*labels, (5, None, None), (None, 1, 1), (7, 0, 0), (10_000, 1, 1)], "doc_id long, quality int, toxic int")
