@@ -35,6 +35,14 @@ def test_cascade_order_and_same_verdict(docs):
     assert kept == {k for k in range(200) if k % 3}
 
 
+def test_the_sample_stays_small_when_one_row_repeats(docs):
+    df = docs(*[(None, "few words")] * 3000, *[(k, GOOD) for k in range(50)])
+    order = Q.plan_cascade(df, Q.RULES, sample=10)
+    assert {r.name for r, _, _ in order} == {r.name for r in Q.RULES}
+    kept = Q.judged(df).filter("kept").count()
+    assert kept == 50
+
+
 def test_empty_repeated_and_clashing(docs, clashing):
     assert Q.judged(docs()).collect() == []
     rows = Q.judged(clashing(docs((1, GOOD), (1, GOOD), (None, GOOD)))).collect()
