@@ -37,8 +37,14 @@ def one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return _guard(found, keys, (F.col("_l") == 1) & (F.col("_r") == 1), "keys are not unique").drop("_l", "_r")
 
 
-def guarded_inner(left: DataFrame, right: DataFrame, keys: list[str], complete: bool = True) -> DataFrame:
-    """Inner join that refuses repeated keys on either side and, if ``complete``, rows of the left side without a match."""
+def guarded_inner(left: DataFrame, right: DataFrame, keys: list[str], complete: bool = True, unique: bool = True) -> DataFrame:
+    """Inner join that refuses, if ``unique``, repeated keys on either side and, if ``complete``, rows of the left side without a match.
+
+    Without ``unique`` every row meets all rows of its key. Nothing is counted then, so Spark can split a key with many rows.
+    """
+    if not unique:
+        joined = left.join(right.withColumn("_r", F.lit(1)), keys, "left" if complete else "inner")
+        return (_guard(joined, keys, F.col("_r").isNotNull(), "keys without a match") if complete else joined).drop("_r")
     joined = _counted(left, keys, "_l").join(_counted(right, keys, "_r"), keys, "left" if complete else "inner")
     if complete:
         joined = _guard(joined, keys, F.col("_r").isNotNull(), "keys without a match")

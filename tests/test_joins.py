@@ -28,6 +28,28 @@ def test_guarded_inner(rows):
         joins.guarded_inner(left, rows("k int, b int", (1, 1), (1, 2)), ["k"], complete=False).collect()
 
 
+def test_guarded_inner_with_repeated_keys(rows):
+    left, right = rows("k int, a int", (1, 1), (1, 2), (2, 3), (None, 4)), rows("k int, b int", (1, 10), (1, 20), (2, 30), (None, 40))
+    found = joins.guarded_inner(left, right, ["k"], complete=False, unique=False)
+    assert collected(found, "k", "a", "b") == [(1, 1, 10), (1, 1, 20), (1, 2, 10), (1, 2, 20), (2, 3, 30)]
+    assert joins.guarded_inner(left.filter("k > 0"), right, ["k"], unique=False).count() == 5
+    with pytest.raises(Exception, match="without a match"):
+        joins.guarded_inner(left, right, ["k"], unique=False).collect()
+
+
+def test_feed_meets_all_matches_of_a_repeated_key(rows):
+    """Two matches of one day and pair are in the result with each feed row of theirs, not left out."""
+    from types import SimpleNamespace
+
+    from pastward.plans import relational
+
+    schema = "match_id int, season int, league int, match_date string, home_team int, away_team int, home_goals int, away_goals int, home_xg double, away_xg double"
+    data = [(k, 2000, 1, "d", home, 2, k, 0, 1.0, xg) for k, home, xg in ((1, 1, 0.5), (2, 1, 0.6), (3, 1, 0.0), (4, 5, 0.7), (5, 6, 0.0))]
+    found = relational.matches_with_feed(SimpleNamespace(matches=rows(schema, *data)))
+    assert collected(found, "match_id", "feed_id", "away_xg") == [(1, 1, 0.5), (1, 2, 0.6), (2, 1, 0.5), (2, 2, 0.6), (3, 1, 0.5), (3, 2, 0.6), (4, 4, 0.7)]
+
+
+
 def test_strict_mapping_fails_on_unknown(rows):
     df = rows("team string", ("A",), (None,), ("C",))
     mapping = rows("source string, target string", ("A", "Alpha"))
