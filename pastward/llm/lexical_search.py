@@ -1,14 +1,15 @@
 """Exact top-k search by BM25 over an inverted index in shards, with block-max pruning.
 
 Terms are words, lower-cased in A-Z. Every task of ``index`` turns its documents into segments: posting lists by term
-in the shared folder. ``search`` groups segments into shards of about ``SHARD_DOCUMENTS``, looks the query set up in each shard in
-blocks of ``QUERY_BLOCK`` queries, and merges the best of the shards; document frequencies, the number of documents and
-their mean length are those of the whole corpus, so the merge is exact.
+in the shared folder. ``search`` deals the segments to ``GROUPS`` groups. A group gets the whole query set once, in blocks of
+``QUERY_BLOCK`` queries, looks it up in one shard of about ``SHARD_DOCUMENTS`` after the other, and returns the best of all its
+shards; so what is shuffled and what is merged grow with the documents and with the queries, not with their product.
+Document frequencies, the number of documents and their mean length are those of the whole corpus, so the merge is exact.
 
 Inside a shard a query's terms are split into rare ones, whose lists are short, and frequent ones. A document's score
 is at most its score from the rare terms plus, for its block of ``BLOCK`` documents, the greatest contributions of the frequent terms.
-Documents are taken by that bound, best first, and only while it isn't below the k-th best score found. Blocks
-hold documents with the same commonest word and similar lengths, which keeps the bounds low.
+Documents are taken by that bound, best first, and only while it isn't below the k-th best score found, in the group's
+earlier shards too. Blocks hold documents with the same commonest word and similar lengths, which keeps the bounds low.
 
 A contribution is rounded to a millionth; sums of such are exact, whatever their order, and equal texts tie.
 """
@@ -26,6 +27,10 @@ TOP = 10
 SEGMENT_DOCUMENTS = 4_096
 SEGMENT_POSTINGS = 2 << 20
 SHARD_DOCUMENTS = 4_096
+#: Tasks that look up queries; fixed, since each of them gets all queries and returns ``k`` rows for each.
+GROUPS = 24
+#: Bytes of packed queries that such a task holds in memory; beyond, they lie in a temporary file.
+HELD_QUERIES = 32 << 20
 QUERY_BLOCK = 512
 BLOCK = 64
 #: A term is frequent in a shard if more than one in so many documents has it.
@@ -180,17 +185,19 @@ class Shard:
     def __init__(self, rows: list[tuple]):
         import numpy as np
 
-        self.ids, lengths, terms, sizes, documents, counts = [], [], [], [], [], []
+        known, nulls, lengths, terms, sizes, documents, counts, base = [], [], [], [], [], [], [], 0
         for ids, length, term, frequency, postings in rows:
-            base, size = len(self.ids), len(length) // 4
-            nulls = ids[8 * size:]
-            self.ids += [None if null else int(v) for v, null in zip(np.frombuffer(ids, "<i8", size), nulls)]
+            size = len(length) // 4
+            known.append(np.frombuffer(ids, "<i8", size))
+            nulls.append(np.frombuffer(ids, bool, size, 8 * size))
             lengths.append(np.frombuffer(length, "<u4"))
             terms.append(np.frombuffer(term, "<u8"))
             sizes.append(np.frombuffer(frequency, "<u4").astype(np.int32))
             both = np.frombuffer(postings, "<u4").reshape(2, -1)
             documents.append(both[0].view(np.int32) + np.int32(base))
             counts.append(both[1])
+            base += size
+        self.ids, self.nulls = np.concatenate(known), np.concatenate(nulls)
         self.lengths = np.concatenate(lengths).astype(float)
         if len(rows) == 1:  # its postings are in order
             self.terms, self.documents, self.counts = terms[0], documents[0], counts[0]
@@ -217,8 +224,11 @@ class Shard:
             out[low:low + len(part)] = np.rint(UNIT * (idf[low:low + len(part)] * (counts * (K1 + 1) / (counts + norm))))
         return out
 
-    def best(self, block: bytes, total: int, mean: float, k: int):
-        """(query ids, documents, scores in units) of the best ``k`` of every query of a block."""
+    def best(self, block: bytes, total: int, mean: float, k: int, held: tuple | None = None) -> tuple:
+        """Query ids of a block and, a row for each, the scores in units, ids and null marks of its best ``k`` documents.
+
+        ``held``: the same from other shards, whose documents take part. Places beyond the last document score 0.
+        """
         import numpy as np
 
         terms, frequency, queries, bounds, where = _unpacked_block(block)
@@ -242,7 +252,7 @@ class Shard:
             dense[row[term], documents[part]] = value[part]
         highest = dense.reshape(len(dense), blocks, BLOCK).max(2) if len(dense) else np.zeros((0, blocks), np.int32)
 
-        out = [[], [], []]
+        scored, ids, nulls = np.zeros((len(queries), k), np.int64), np.zeros((len(queries), k), np.int64), np.zeros((len(queries), k), bool)
         for q in range(len(queries)):
             own = where[bounds[q]:bounds[q + 1]]
             rare, common = own[~frequent[own]], row[own[frequent[own]]]
@@ -250,7 +260,8 @@ class Shard:
             scores = np.bincount(documents[at], value[at], blocks * BLOCK)
             bound = scores + np.repeat(highest[common].sum(0), BLOCK)
             possible = np.flatnonzero(bound[:size] > 0)
-            least, taken, step = 0.0, np.zeros(0, int), 4 * k
+            known = float(held[1][q, k - 1]) if held else 0.0
+            least, step = known, 4 * k
             kept_documents, kept_scores = np.zeros(0, int), np.zeros(0)
             while True:
                 possible = possible[bound[possible] >= least]
@@ -264,17 +275,65 @@ class Shard:
                 exact = scores[taken] + dense[np.ix_(common, taken)].sum(0)
                 kept_documents, kept_scores = np.concatenate([kept_documents, taken[exact > 0]]), np.concatenate([kept_scores, exact[exact > 0]])
                 if len(kept_scores) > k:
-                    least = -np.partition(-kept_scores, k - 1)[k - 1]
+                    least = max(known, -np.partition(-kept_scores, k - 1)[k - 1])
                     keep = kept_scores >= least
                     kept_documents, kept_scores = kept_documents[keep], kept_scores[keep]
                 elif len(kept_scores) == k:
-                    least = kept_scores.min()
+                    least = max(known, kept_scores.min())
                 step *= 4
-            found = sorted(((-s, self.ids[d] is None, self.ids[d] or 0, d) for s, d in zip(kept_scores.tolist(), kept_documents.tolist())))[:k]
-            out[0] += [int(queries[q])] * len(found)
-            out[1] += [self.ids[f[3]] for f in found]
-            out[2] += [-int(f[0]) for f in found]
-        return out
+            best = np.lexsort((self.ids[kept_documents], self.nulls[kept_documents], -kept_scores))[:k]
+            scored[q, :len(best)] = kept_scores[best]
+            ids[q, :len(best)], nulls[q, :len(best)] = self.ids[kept_documents[best]], self.nulls[kept_documents[best]]
+        if held:
+            scored, ids, nulls = (np.hstack(pair) for pair in zip(held[1:], (scored, ids, nulls)))
+            order = np.lexsort((ids, nulls, -scored))[:, :k]
+            scored, ids, nulls = (np.take_along_axis(v, order, 1) for v in (scored, ids, nulls))
+        return queries, scored, ids, nulls
+
+
+class Group:
+    """The query blocks of a group of segments, and the best that its shards have so far; holds the lists of one shard."""
+
+    def __init__(self, total: int, mean: float, k: int, shard_documents: int, held_queries: int):
+        import tempfile
+
+        self.corpus, self.shard_documents = (total, mean, k), shard_documents
+        self.queries, self.sizes, self.best = tempfile.SpooledTemporaryFile(held_queries), [], []
+        self.rows, self.documents = [], 0
+
+    def ask(self, block: bytes) -> None:
+        self.queries.write(block)
+        self.sizes.append(len(block))
+        self.best.append(None)
+
+    def add(self, row: tuple) -> None:
+        """A segment: ids, lengths, terms, counts, postings."""
+        size = len(row[1]) // 4
+        if self.documents + size > self.shard_documents:
+            self._look_up()
+        self.rows.append(row)
+        self.documents += size
+
+    def _look_up(self) -> None:
+        if not self.rows:
+            return
+        shard, self.rows, self.documents = Shard(self.rows), [], 0
+        self.queries.seek(0)
+        for number, size in enumerate(self.sizes):
+            self.best[number] = shard.best(self.queries.read(size), *self.corpus, self.best[number])
+
+    def close(self):
+        """Batches of (query_id, doc_id, units): the best of the whole group, one batch for each block."""
+        import numpy as np
+        import pyarrow as pa
+
+        schema = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("units", pa.int64())])
+        self._look_up()
+        self.queries.close()
+        for queries, scored, ids, nulls in filter(None, self.best):
+            found = scored > 0
+            columns = pa.array(np.repeat(queries, found.sum(1))), pa.array(ids[found], mask=nulls[found]), pa.array(scored[found])
+            yield pa.RecordBatch.from_arrays(list(columns), schema=schema)
 
 
 def _ranges(begin, lengths):
@@ -286,6 +345,37 @@ def _ranges(begin, lengths):
     return out
 
 
+def _best_of_groups(segments: DataFrame, packed: DataFrame, scratch: Scratch, count: int, total: int, mean: float, k: int) -> DataFrame:
+    """(query_id, doc_id, units): the best ``k`` of each query in each group of the ``count`` segments."""
+    groups = max(1, min(GROUPS, count))
+    # A row per segment, so a row per task of the indexer: few enough for one window.
+    largest_first = Window.orderBy(F.col("words").desc(), "segment")
+    placed = segments.select("segment", "words").withColumn("group", F.pmod(F.row_number().over(largest_first), F.lit(groups)))
+    placed = scratch.keep(placed.select("segment", "group"), "groups")
+
+    def run(batches):
+        current, group = None, None
+        for number, is_segment, *lists, data in rows_of(batches, 1):
+            if number != current:
+                if group:
+                    yield from group.close()
+                current, group = number, Group(total, mean, k, SHARD_DOCUMENTS, HELD_QUERIES)
+            if is_segment:
+                group.add(tuple(lists))
+            else:
+                group.ask(data)
+        if group:
+            yield from group.close()
+
+    columns, empty = ["ids", "lengths", "terms", "counts", "postings"], F.lit(None).cast("binary")
+    lists = segments.join(placed, "segment").select("group", F.lit(True).alias("is_segment"), "segment", *columns, empty.alias("data"))
+    # The stated query set meets every group, a block at a time, before the group's segments.
+    many = packed.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    asked = many.select("group", F.lit(False).alias("is_segment"), F.col("block").cast("long").alias("segment"), *[empty.alias(c) for c in columns], "data")
+    pairs = lists.unionAll(asked).repartitionById(groups, "group").sortWithinPartitions("group", "is_segment", "segment").drop("segment")
+    return pairs.mapInArrow(run, "query_id long, doc_id long, units long")
+
+
 def search(segments: DataFrame, queries: DataFrame, scratch: Scratch, k: int = TOP) -> DataFrame:
     """(query_id, rank from 1, doc_id, score) of the best ``k`` documents of each query.
 
@@ -293,44 +383,14 @@ def search(segments: DataFrame, queries: DataFrame, scratch: Scratch, k: int = T
     finds nothing. A document is found if it has a term of the query. Equal scores stand in the order of the document
     id, a null id last; rows that repeat an id are documents of their own.
     """
-    totals = segments.agg(F.sum("documents").alias("documents"), F.sum("words").alias("words")).head()
+    totals = segments.agg(F.sum("documents").alias("documents"), F.sum("words").alias("words"), F.count("segment").alias("segments")).head()
     total, mean = totals["documents"] or 0, (totals["words"] or 0) / (totals["documents"] or 1) or 1.0
     terms = _query_terms(queries.filter("query_id IS NOT NULL").select(F.col("query_id").cast("long"), "text"))
     terms = scratch.keep(terms, "query_terms")
     frequency = _frequencies(segments).groupBy("term").agg(F.sum("documents").alias("documents"))
     blocks = max(1, -(-terms.select("query_id").distinct().count() // QUERY_BLOCK))
     packed = scratch.keep(_query_blocks(terms.join(frequency, "term"), blocks), "query_blocks")
-
-    # A row per segment, so a row per task of the indexer: few enough for one window.
-    before = Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    placed = segments.select("segment", "documents").withColumn("shard", F.floor(F.coalesce(F.sum("documents").over(before), F.lit(0)) / SHARD_DOCUMENTS).cast("long"))
-    placed = scratch.keep(placed.select("segment", "shard"), "shards")
-    last = placed.agg(F.max("shard")).head()[0]
-
-    def run(batches):
-        import pyarrow as pa
-
-        schema = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("units", pa.int64())])
-        current, rows, shard = None, [], None
-        for number, query_block, ids, lengths, found, counts, postings, data in rows_of(batches, 1):
-            if number != current:
-                current, rows, shard = number, [], None
-            if query_block < 0:
-                rows.append((ids, lengths, found, counts, postings))
-                continue
-            if shard is None:
-                if not rows:  # shard numbers have gaps where a segment is larger than a shard
-                    continue
-                shard, rows = Shard(rows), []
-            yield out_batch(schema, shard.best(data, total, mean, k))
-
-    empty = F.lit(None).cast("binary")
-    lists = segments.join(placed, "segment").select("shard", F.lit(-1).alias("query_block"), "segment", "ids", "lengths", "terms", "counts", "postings", empty.alias("data"))
-    # The stated query set meets every shard, a block at a time.
-    many = packed.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last or 0).cast("long"))))
-    asked = many.select("shard", F.col("block").alias("query_block"), F.lit(0).cast("long").alias("segment"), *[empty.alias(c) for c in ("ids", "lengths", "terms", "counts", "postings")], "data")
-    pairs = lists.unionAll(asked).repartition("shard").sortWithinPartitions("shard", "query_block", "segment").drop("segment")
-    found = pairs.mapInArrow(run, "query_id long, doc_id long, units long")
+    found = _best_of_groups(segments, packed, scratch, totals["segments"], total, mean, k)
     best = Window.partitionBy("query_id").orderBy(F.col("units").desc(), F.col("doc_id").asc_nulls_last())
     ranked = found.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "doc_id", (F.col("units") / UNIT).alias("score"))

@@ -47,6 +47,49 @@ def test_same_as_brute_force(spark, docs, monkeypatch, shard, segment, block):
     assert sorted(tuple(r) for r in found.collect()) == sorted(brute(rows, queries, 5))
 
 
+def merged(spark, docs, count):
+    """Segments of ``count`` documents, rows that their groups return, and the groups."""
+    rows = corpus(5, count)
+    scratch = Scratch(spark, "test")
+    found = S.search(S.index(docs(*rows), scratch), spark.createDataFrame(rows[:12], "query_id long, text string"), scratch, 4)
+    assert sorted(tuple(r) for r in found.collect()) == sorted(brute(rows, rows[:12], 4))
+    segments = spark.read.parquet(scratch.path("segments"))
+    words, documents = segments.selectExpr("sum(words)", "sum(documents)").head()
+    packed = spark.read.parquet(scratch.path("query_blocks"))
+    best = S._best_of_groups(segments, packed, Scratch(spark, "test"), segments.count(), documents, words / documents, 4)
+    return segments.count(), best.count(), {r["group"] for r in spark.read.parquet(scratch.path("groups")).collect()}
+
+
+def test_rows_to_merge_do_not_grow_with_shards(spark, docs, monkeypatch):
+    """Each shard returned its best of every query, and got every query block."""
+    for name, value in (("GROUPS", 3), ("SEGMENT_DOCUMENTS", 5), ("SHARD_DOCUMENTS", 5), ("QUERY_BLOCK", 5), ("HELD_QUERIES", 64)):
+        monkeypatch.setattr(S, name, value)
+    for count in (60, 400):
+        segments, rows, groups = merged(spark, docs, count)
+        assert segments >= count / 5 and rows <= 3 * 12 * 4 and groups == {0, 1, 2}
+
+
+def test_best_of_earlier_shards_take_part(spark):
+    """Ties go by id over shards, a null id last, and a later shard does not score what cannot enter."""
+    import numpy as np
+
+    from pastward.llm.words import hasher
+
+    def segment(number, *rows):
+        found = [np.unique(hasher()(t), return_counts=True) for _, t in rows]
+        return tuple(S._segment(number, [d for d, _ in rows], found, [len(t.split()) for _, t in rows])[3:])
+
+    block = S._query_blocks(spark.createDataFrame([(7, int(hasher()("a").view(np.int64)[0]), 5)], "query_id long, term long, documents long"), 1).head()["data"]
+    parts = [segment(0, (None, "a"), (9, "a b")), segment(1, (4, "a"), (5, "c")), segment(2, (3, "a b c d"), (2, "a"))]
+    group = S.Group(6, 1.5, 3, 2, 8)
+    group.ask(bytes(block))
+    for part in parts:
+        group.add(part)
+    (found,) = group.close()
+    assert found.column("doc_id").to_pylist() == [2, 4, None] and len(set(found.column("units").to_pylist())) == 1
+    assert set(found.column("query_id").to_pylist()) == {7}
+
+
 def test_bounds_leave_documents_out():
     """The k best are found without scoring all documents that have a term of the query."""
     import numpy as np
