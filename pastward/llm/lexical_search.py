@@ -8,8 +8,9 @@ Document frequencies, the number of documents and their mean length are those of
 
 Inside a shard a query's terms are split into rare ones, whose lists are short, and frequent ones. A document's score
 is at most its score from the rare terms plus, for its block of ``BLOCK`` documents, the greatest contributions of the frequent terms.
-Documents are taken by that bound, best first, and only while it isn't below the k-th best score found, in the group's
-earlier shards too. Blocks hold documents with the same commonest word and similar lengths, which keeps the bounds low.
+Documents whose bound is below the k-th best score of the group's earlier shards are left out. Blocks hold documents with the same
+commonest word and similar lengths, which keeps the bounds low. For the others the frequent terms of all queries of a block are summed by one
+product of single precision, and exactly only for those that its error leaves among the best.
 
 A contribution is rounded to a millionth; sums of such are exact, whatever their order, and equal texts tie.
 """
@@ -251,6 +252,13 @@ class Shard:
             part = slice(offset[term], offset[term] + lengths[term])
             dense[row[term], documents[part]] = value[part]
         highest = dense.reshape(len(dense), blocks, BLOCK).max(2) if len(dense) else np.zeros((0, blocks), np.int32)
+        # In the types that sums are made in, converted once for all queries.
+        documents, value = documents.astype(np.int64), value.astype(float)
+        asked = np.zeros((len(queries), len(dense)), np.float32)
+        asked[np.repeat(np.arange(len(queries)), np.diff(bounds))[frequent[where]], row[where[frequent[where]]]] = 1
+        # Products of all queries at once. Those of single precision are off by less than ``slack``; only who may be among the best is summed exactly.
+        most, near = asked.astype(float) @ highest, asked @ dense.astype(np.float32)
+        slack = asked.sum(1) * near.max(1, initial=0) * 2.0 ** -22
 
         scored, ids, nulls = np.zeros((len(queries), k), np.int64), np.zeros((len(queries), k), np.int64), np.zeros((len(queries), k), bool)
         for q in range(len(queries)):
@@ -258,32 +266,19 @@ class Shard:
             rare, common = own[~frequent[own]], row[own[frequent[own]]]
             at = _ranges(offset[rare], lengths[rare])
             scores = np.bincount(documents[at], value[at], blocks * BLOCK)
-            bound = scores + np.repeat(highest[common].sum(0), BLOCK)
-            possible = np.flatnonzero(bound[:size] > 0)
             known = float(held[1][q, k - 1]) if held else 0.0
-            least, step = known, 4 * k
-            kept_documents, kept_scores = np.zeros(0, int), np.zeros(0)
-            while True:
-                possible = possible[bound[possible] >= least]
-                if not len(possible):
-                    break
-                if len(possible) > step:
-                    cut = np.argpartition(-bound[possible], step - 1)
-                    taken, possible = possible[cut[:step]], possible[cut[step:]]
-                else:
-                    taken, possible = possible, possible[:0]
-                exact = scores[taken] + dense[np.ix_(common, taken)].sum(0)
-                kept_documents, kept_scores = np.concatenate([kept_documents, taken[exact > 0]]), np.concatenate([kept_scores, exact[exact > 0]])
-                if len(kept_scores) > k:
-                    least = max(known, -np.partition(-kept_scores, k - 1)[k - 1])
-                    keep = kept_scores >= least
-                    kept_documents, kept_scores = kept_documents[keep], kept_scores[keep]
-                elif len(kept_scores) == k:
-                    least = max(known, kept_scores.min())
-                step *= 4
-            best = np.lexsort((self.ids[kept_documents], self.nulls[kept_documents], -kept_scores))[:k]
-            scored[q, :len(best)] = kept_scores[best]
-            ids[q, :len(best)], nulls[q, :len(best)] = self.ids[kept_documents[best]], self.nulls[kept_documents[best]]
+            bound = (scores.reshape(blocks, BLOCK) + most[q][:, None]).ravel()[:size]
+            possible = np.flatnonzero(bound >= max(known, 1.0))
+            about = scores[possible] + near[q, possible]
+            least = known - slack[q]
+            if len(about) > k:
+                least = max(least, np.partition(about, len(about) - k)[len(about) - k] - 2 * slack[q])
+            kept = possible[about >= least]
+            exact = scores[kept] + _summed(dense, common, kept)
+            kept, exact = kept[exact > 0], exact[exact > 0]
+            best = np.lexsort((self.ids[kept], self.nulls[kept], -exact))[:k]
+            scored[q, :len(best)] = exact[best]
+            ids[q, :len(best)], nulls[q, :len(best)] = self.ids[kept[best]], self.nulls[kept[best]]
         if held:
             scored, ids, nulls = (np.hstack(pair) for pair in zip(held[1:], (scored, ids, nulls)))
             order = np.lexsort((ids, nulls, -scored))[:, :k]
@@ -291,6 +286,11 @@ class Shard:
         return queries, scored, ids, nulls
 
 
+def _summed(dense, terms, documents):
+    """Units of some documents from some frequent terms."""
+    return dense[terms[:, None], documents].sum(0)
+
+
 class Group:
     """The query blocks of a group of segments, and the best that its shards have so far; holds the lists of one shard."""
 

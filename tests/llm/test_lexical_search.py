@@ -104,6 +104,37 @@ def test_bounds_leave_documents_out():
     assert len(shard.ids) == 2000 and len(shard.terms) == 2091
 
 
+def test_few_documents_are_summed_one_by_one(spark, monkeypatch):
+    """Most documents have most of the terms; all of a query's were gathered by steps until the bounds, which are alike, ended it."""
+    import numpy as np
+
+    from pastward.llm.words import hasher
+
+    draw = random.Random(6)
+    texts = [" ".join(f"w{draw.randrange(60)}" for _ in range(draw.randrange(40, 80))) for _ in range(1500)]
+    texts += texts[:30]  # ties
+    found = [np.unique(hasher()(t), return_counts=True) for t in texts]
+    shard = S.Shard([S._segment(0, list(range(len(texts))), found, [len(t.split()) for t in texts])[3:]])
+    mean, total = sum(len(t.split()) for t in texts) / len(texts), 10**9
+    rows = [(q, int(t)) for q in range(20) for t in found[q][0].view(np.int64)]
+    df = {int(t): int(n) for t, n in zip(*np.unique(np.concatenate([t for t, _ in found]).view(np.int64), return_counts=True))}
+    block = S._query_blocks(spark.createDataFrame([(q, t, df[t]) for q, t in rows], "query_id long, term long, documents long"), 1).head()["data"]
+    sums, summed = [], S._summed
+    monkeypatch.setattr(S, "_summed", lambda dense, own, kept: (sums.append(len(kept)), summed(dense, own, kept))[1])
+    queries, scored, ids, _ = shard.best(bytes(block), total, mean, 10)
+    units = np.zeros((20, len(texts)), np.int64)
+    place = {int(t): k for k, t in enumerate(shard.terms.view(np.int64))}
+    for q, t in rows:
+        at = np.arange(shard.starts[place[t]], shard.ends[place[t]])
+        idf = np.log(1 + (total - df[t] + 0.5) / (df[t] + 0.5))
+        units[q, shard.documents[at]] += shard._values(at, np.full(len(at), idf), mean)
+    assert queries.tolist() == list(range(20))
+    for q in range(20):
+        order = np.lexsort((shard.ids, -units[q]))[:10]
+        assert ids[q].tolist() == shard.ids[order].tolist() and scored[q].tolist() == units[q, order].tolist()
+    assert len(sums) == 20 and max(sums) <= 20
+
+
 def test_special_rows(spark, docs, clashing):
     rows = [(1, "a b c"), (2, None), (3, ""), (4, "A B"), (4, "a b"), (None, "a z"), (5, "only once"), (6, "word " * 50_000)]
     queries = [(7, "a b"), (7, "b"), (8, None), (9, "unknown"), (None, "a")]
